@@ -2,8 +2,8 @@
 
 Documents are cut into pieces of at most one sequence. Pieces are dealt at random to partitions of bounded size and
 packed best-fit decreasing. Dual feasible functions give each partition a bound below which no packing can go; a
-partition that meets its bound is certified. Those with a gap give up the bins they could not fill; the pieces of these
-are dealt anew, so that partitions exchange documents, and packed again, as long as that saves bins.
+partition that meets its bound, not rounded, is certified. Those with a gap give up their emptiest bins; the pieces of these are dealt
+anew, to far fewer partitions, which so exchange documents, and packed again, as long as that saves bins.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from limn.llm.common import need, utf8, written
 CAPACITY = 2048
 #: Pieces in a partition, about: what one task holds at once.
 DEALT = 32_768
+#: Bins that a partition gives up, its emptiest ones, for each bin that it has above its bound.
+GIVEN = 16
 #: Code points below this one are lower-cased and split alike by the tokenizer library and by Python (tested one by one).
 SHARED_CODE_POINTS = 0x250
 #: Words whose ids a worker keeps, of at most this many characters each; when full it starts anew. No result depends on it.
@@ -154,17 +156,24 @@ def lower_bound(histogram: np.ndarray, capacity: int = CAPACITY) -> int:
     return max(-(-int(f @ histogram) // d) for d, f in _dual_feasible(capacity))
 
 
+def excess(bins: int, histogram: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Bins above the bound before it is rounded up, rounded up: what partitions that pool their pieces could save."""
+    return max(0, min(-(-(bins * d - int(f @ histogram)) // d) for d, f in _dual_feasible(capacity)))
+
+
 def _round(items: DataFrame, number: int, capacity: int, dealt: int) -> DataFrame:
-    """Deals items out, packs each partition, and says which bins are settled: all of a certified partition, else full ones."""
+    """Deals items out, packs each partition, and says which bins are settled: all but the GIVEN emptiest for each bin of gap."""
     parts = max(1, -(-items.count() // dealt))
     names = [c for c in items.columns if c != "part"]
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item", kind="stable", ignore_index=True)
         lengths = pdf["length"].to_numpy()
         bins, offsets, loads = best_fit_decreasing(lengths, capacity)
-        gap = len(loads) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        return pdf[names].assign(sequence_id=bins + (number << 56) + (int(key[0]) << 24), offset=offsets, settled=(loads == capacity)[bins] | (gap == 0))
+        gap = excess(len(loads), np.bincount(lengths, minlength=capacity + 1), capacity)
+        given = np.zeros(len(loads), bool)
+        given[np.argsort(loads, kind="stable")[: GIVEN * gap]] = True
+        return pdf[names].assign(sequence_id=bins + (number << 56) + (int(key[0]) << 24), offset=offsets, settled=~given[bins])
 
     kinds = dict(items.dtypes)
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", sequence_id long, offset long, settled boolean"
