@@ -44,10 +44,15 @@ def grams(token: bytes) -> list[int]:
 
 
 class Model:
-    """Numbers by bucket, and the curve from a document's raw score to a probability."""
+    """Numbers by bucket, the score of a usual clean word, and the curve from a document's raw score to a probability."""
 
-    def __init__(self, numbers: np.ndarray, bias: float, curve: tuple[float, float], name: str):
-        self.numbers, self.bias, self.curve, self.name = numbers, bias, curve, name
+    def __init__(self, numbers: np.ndarray, usual: float, bias: float, curve: tuple[float, float], name: str):
+        self.numbers, self.usual, self.bias, self.curve, self.name = numbers, usual, bias, curve, name
+
+
+def windows(n: int) -> np.ndarray:
+    """Where the windows of n words begin; the last one takes what is left, up to nearly two windows."""
+    return np.arange(0, max(n - WINDOW + 1, 1), WINDOW)
 
 
 class Scorer(dict):
@@ -67,12 +72,14 @@ class Scorer(dict):
         return s
 
     def raw(self, text: bytes) -> float:
-        """The mean of the TOPS largest means of a window of words; a text without words has the bias alone."""
+        """The mean of the TOPS largest means of a window; usual clean words fill up a text of less than one window."""
         words = tokens(text)
-        if not words:
-            return self.model.bias
-        s = np.fromiter(map(self.__getitem__, words), float, len(words))
-        means = np.add.reduceat(s, np.arange(0, len(s), WINDOW)) / WINDOW
+        words_n, usual = len(words), self.model.usual
+        s = np.fromiter(map(self.__getitem__, words), float, words_n)
+        if words_n < WINDOW:
+            return self.model.bias + (float(s.sum()) + (WINDOW - words_n) * usual) / WINDOW
+        at = windows(words_n)
+        means = np.add.reduceat(s, at) / np.diff(at, append=words_n)
         return self.model.bias + float((np.partition(means, -TOPS)[-TOPS:] if len(means) > TOPS else means).mean())
 
     def score(self, text: bytes) -> float:
@@ -122,7 +129,7 @@ def fit(texts: list[str], labels, bags: int = 2, epochs: int = 12, rate: float =
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, float)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, (0.0, 6.0 if y.any() else -6.0), "constant")
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, (0.0, 6.0 if y.any() else -6.0), "constant")
     known: dict[bytes, int] = {}
     docs = [np.fromiter((known.setdefault(w, len(known)) for w in tokens(t.encode())), int) for t in texts]
     lists = [grams(w) for w in known]
@@ -132,13 +139,13 @@ def fit(texts: list[str], labels, bags: int = 2, epochs: int = 12, rate: float =
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     learner = _Learner(seed, rate)
 
-    def train(chosen: list[np.ndarray], own: np.ndarray, width: int | None) -> None:
+    def train(chosen: list[np.ndarray], own: np.ndarray, gain: float = 1) -> None:
         words = np.concatenate(chosen)
         of = np.repeat(np.arange(len(chosen)), [len(x) for x in chosen])
         n = length[words]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        size = np.array([width or max(len(x), 1) for x in chosen])
-        share = np.repeat(1 / (n * size[of]), n) * (1 if width else 8)
+        size = np.array([len(x) for x in chosen])
+        share = np.repeat(gain / (n * size[of]), n)
         learner.step(flat[np.repeat(starts[words], n) + within], share, np.repeat(of, n), y[own], balance[own])
 
     full = [i for i in range(len(docs)) if len(docs[i])]
@@ -150,18 +157,21 @@ def fit(texts: list[str], labels, bags: int = 2, epochs: int = 12, rate: float =
         for a in range(0, len(order), batch):
             own = order[a : a + batch]
             if epoch < bags:
-                train([np.unique(docs[i]) for i in own], own, None)
+                train([np.unique(docs[i]) for i in own], own, WINDOW)
                 continue
             chosen, of = [], []
             for i in own:
-                at = np.arange(0, len(docs[i]), WINDOW)
-                tops = at[np.argsort(-np.add.reduceat(scores[docs[i]], at))[:TOPS]].tolist()
-                tops += [at[int(rng.integers(len(at)))]] * int(y[i] == 0)
-                chosen += [docs[i][t : t + WINDOW] for t in tops]
+                at = windows(len(docs[i]))
+                end = np.append(at[1:], len(docs[i]))
+                tops = np.argsort(-np.add.reduceat(scores[docs[i]], at) / (end - at))[:TOPS].tolist()
+                tops += [int(rng.integers(len(at)))] * int(y[i] == 0)
+                chosen += [docs[i][at[t] : end[t]] for t in tops]
                 of += [i] * len(tops)
-            train(chosen, np.array(of), WINDOW)
+            train(chosen, np.array(of))
     numbers = learner.numbers().astype(np.float32)
-    model = Model(numbers, float(learner.bias), (1.0, 0.0), f"{zlib.crc32(numbers.tobytes()):08x}")
+    by_word = np.add.reduceat(numbers[flat], starts[:-1]) / length
+    clean = [by_word[docs[i]].mean() for i in full if y[i] == 0]
+    model = Model(numbers, float(np.mean(clean)) if clean else 0.0, float(learner.bias), (1.0, 0.0), f"{zlib.crc32(numbers.tobytes()):08x}")
     scorer = Scorer(model)
     model.curve = calibrated(np.array([scorer.raw(t.encode()) for t in texts]), y)
     return model
@@ -194,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = L
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text), from its text alone.
 
-    Null and empty texts have the score of a text without words. Null ids and repeated rows return as they are; an
+    Null and empty texts are scored as usual clean words. Null ids and repeated rows return as they are; an
     empty table gives an empty result; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
