@@ -34,6 +34,14 @@ def normalised_boxes(boxes: Column, width: Column, height: Column, canvas: float
     return F.filter(placed, lambda b: (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]))
 
 
+def placed_boxes(width: float, height: float, boxes: list[dict], canvas: float = CANVAS) -> list[dict]:
+    """`normalised_boxes` in Python, where boxes come from a provider."""
+    scale = canvas / max(width, height)
+    shift = {"x": (canvas - width * scale) / 2, "y": (canvas - height * scale) / 2}
+    placed = [{c: min(max(b[c] * scale + shift[c[0]], 0.0), canvas) for c in ("x0", "y0", "x1", "y1")} | {"text": b["text"]} for b in boxes]
+    return [b for b in placed if b["x1"] > b["x0"] and b["y1"] > b["y0"]]
+
+
 def diou(a: Column, b: Column) -> Column:
     """Intersection over union less the squared distance of the centres by the squared diagonal around both, in [-1, 1]."""
     side = lambda lo, hi: F.greatest(hi - lo, F.lit(0.0))

@@ -19,7 +19,8 @@ from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import pandas_udf, udf
 
 #: What a compile gives: whether it worked, return code, seconds, error, log, and the page as PNG and PDF.
 COMPILED = "ok boolean, rc int, secs double, error string, log string, png binary, pdf binary"
@@ -39,11 +40,25 @@ class Model(Protocol):
 
 
 class Features(Protocol):
-    """A batch of images to feature vectors, or of pairs to distances."""
+    """A batch of images to feature vectors."""
 
     def extract(self, images: list[bytes]) -> list[list[float]]: ...
 
 
+class Distances(Protocol):
+    """A batch of image pairs to perceptual distances."""
+
+    def distances(self, pairs: list[tuple[bytes, bytes]]) -> list[float]: ...
+
+
+class Pdf(Protocol):
+    """The first page of a PDF: text lines as boxes, and drawing paths as lists of segments, with the page's size."""
+
+    def boxes(self, pdf: bytes) -> tuple[float, float, list[dict]]: ...
+
+    def paths(self, pdf: bytes) -> list[dict]: ...
+
+
 def failed(error: str, rc: int = 1, secs: float = 0.0, log: str | None = None) -> dict:
     return dict(zip(COMPILED_FIELDS, (False, rc, secs, error, log, None, None)))
 
@@ -115,6 +130,7 @@ def compiled(df: DataFrame, code: str, provider: Compiler, into: str = "compiled
     """df with a struct of what compiling a column gives. Equal code is compiled once for each task; null code fails."""
     fields = "struct<" + COMPILED.replace(" ", ": ").replace(",: ", ", ") + ">"
 
+    @pandas_udf(fields)
     def run(codes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         once = lru_cache(4096)(lambda c: provider.compile(c))
 
@@ -129,9 +145,7 @@ def compiled(df: DataFrame, code: str, provider: Compiler, into: str = "compiled
         for s in codes:
             yield pd.DataFrame([safe(c) for c in s], columns=COMPILED_FIELDS)
 
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
-
-    return df.withColumn(into, pandas_udf(run, fields, PandasUDFType.SCALAR_ITER)(F.col(code)))
+    return df.withColumn(into, run(F.col(code)))
 
 
 def recorded(df: DataFrame, code: str, table: DataFrame, into: str = "compiled") -> DataFrame:
@@ -190,7 +204,8 @@ class ChatModel:
 def replies(df: DataFrame, prompt: Column, provider: Model, into: str = "raw", batch: int = 8, image: Column | None = None) -> DataFrame:
     """df with a model's reply to each row's prompt, in batches; a batch that fails gives empty replies."""
 
-    def run(parts: Iterator[tuple]) -> Iterator[pd.Series]:
+    @pandas_udf("string")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for columns in parts:
             rows = [{"prompt": p, "image": i} for p, i in zip(*columns)]
             out: list[str] = []
@@ -201,10 +216,7 @@ def replies(df: DataFrame, prompt: Column, provider: Model, into: str = "raw", b
                     out += [""] * len(rows[a : a + batch])
             yield pd.Series(out, dtype=object)
 
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
-
-    call = pandas_udf(run, "string", PandasUDFType.SCALAR_ITER)
-    return df.withColumn(into, call(prompt, image if image is not None else F.lit(None).cast("binary")))
+    return df.withColumn(into, run(prompt, image if image is not None else F.lit(None).cast("binary")))
 
 
 def per_distinct(df: DataFrame, key: Column, work: Callable[[DataFrame], DataFrame], joined: list[str]) -> DataFrame:
@@ -212,3 +224,71 @@ def per_distinct(df: DataFrame, key: Column, work: Callable[[DataFrame], DataFra
     keyed = df.withColumn("_key", key)
     done = work(keyed.dropDuplicates(["_key"])).select("_key", *joined)
     return keyed.join(done, keyed["_key"].eqNullSafe(done["_key"])).drop("_key")
+
+
+def text_boxes(pdf: Column, provider: Pdf) -> Column:
+    """Boxes of a PDF column's first page on the canvas; none where it can't be read."""
+    from limn.operators.layout import BOXES, placed_boxes
+
+    @udf(returnType=BOXES, useArrow=True)
+    def read(data):
+        try:
+            return placed_boxes(*provider.boxes(bytes(data)))
+        except Exception:  # a page that can't be read has no boxes
+            return []
+
+    return read(pdf)
+
+
+def drawing_elements(pdf: Column, provider: Pdf) -> Column:
+    """Geometric elements of a PDF column's first page; none where it can't be read."""
+    from limn.operators.geometry import path_elements
+
+    @udf(returnType="array<struct<segments: array<array<array<double>>>, closed: boolean>>", useArrow=True)
+    def read(data):
+        try:
+            return provider.paths(bytes(data))
+        except Exception:  # a page that can't be read has no elements
+            return []
+
+    return path_elements(read(pdf))
+
+
+def features(df: DataFrame, image: str, provider: Features, into: str = "features", batch: int = 16) -> DataFrame:
+    """df with the feature vector of an image column, null for null or where a batch fails."""
+
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series(_batched(s.tolist(), batch, provider.extract, lambda x: x is not None), dtype=object)
+
+    return df.withColumn(into, run(F.col(image)))
+
+
+def perceptual_similarity(df: DataFrame, predicted: str, reference: str, provider: Distances, into: str = "perceptual", batch: int = 16) -> DataFrame:
+    """df with 1 less the perceptual distance of a pair of images, in [0, 1]; 0 where one is null or a batch fails.
+
+    Scores stay with their rows, whatever the batches are.
+    """
+
+    @pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            found = _batched(list(zip(a, b)), batch, provider.distances, lambda p: p[0] is not None and p[1] is not None)
+            yield pd.Series([0.0 if d is None else min(max(1 - float(d), 0.0), 1.0) for d in found])
+
+    return df.withColumn(into, run(F.col(predicted), F.col(reference)))
+
+
+def _batched(rows: list, batch: int, work: Callable[[list], list], able: Callable[[object], bool]) -> list:
+    """work over the able rows in batches, each result at its row's place; None for the others and for failed batches."""
+    out, places = [None] * len(rows), [i for i, r in enumerate(rows) if able(r)]
+    for a in range(0, len(places), batch):
+        own = places[a : a + batch]
+        try:
+            found = work([rows[i] for i in own])
+        except Exception:  # a model's fault leaves its batch without results
+            continue
+        for i, x in zip(own, found):
+            out[i] = x
+    return out

@@ -125,7 +125,7 @@ class Checks:
 def test_filter_with_compiler_and_recordings(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(["ok", "bad", "wide", "lipsum", "boom", None])], "orig_id long, code string")
     got = {r["orig_id"]: r["reason"] for r in pipelines.filtered(df, Checks()).collect()}
-    assert got == {0: None, 1: "compile", 2: "compile", 3: "blacklist", 4: "compile", 5: "compile"}
+    assert got == {0: None, 1: "compile", 2: "compile", 3: "blacklist", 4: "compile", 5: None}  # null code is empty code
     kinds = providers.COMPILED
     table = spark.createDataFrame([("ok", True, 0, 0.0, None, "", None, None), ("wide", True, 0, 0.0, None, "Overfull", None, None)], "code string, " + kinds).withColumn("code_sha256", F.sha2("code", 256)).drop("code")
     got = {r["orig_id"]: r["reason"] for r in pipelines.filtered(df, recorded=table).collect()}
@@ -314,3 +314,47 @@ def test_pushdown_and_plans(spark):
 
     plan = QUERIES["stratified_first"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "lang" not in plan.split("ReadSchema")[1].split(">")[0]
+
+
+class Page:
+    """A PDF whose bytes are JSON."""
+
+    def boxes(self, pdf):
+        d = json.loads(pdf)
+        return d["w"], d["h"], d["boxes"]
+
+    def paths(self, pdf):
+        return json.loads(pdf)["paths"]
+
+    def extract(self, images):
+        return [[float(len(i)), 1.0] for i in images]
+
+    def distances(self, pairs):
+        if any(a == b"boom" for a, _ in pairs):
+            raise RuntimeError
+        return [0.25 if a != b else 0.0 for a, b in pairs]
+
+
+def test_pdf_and_model_columns(spark):
+    page = {"w": 200, "h": 100, "boxes": [{"x0": 0.0, "y0": 0.0, "x1": 100.0, "y1": 50.0, "text": "a"}, {"x0": 5.0, "y0": 5.0, "x1": 5.0, "y1": 9.0, "text": "flat"}], "paths": [{"segments": [[[0, 0], [10, 0]]], "closed": False}] * 2}
+    df = spark.createDataFrame([(1, json.dumps(page).encode(), b"ab"), (2, b"broken", b"boom"), (3, None, None)], "id long, pdf binary, png binary")
+    got = {r["id"]: r for r in df.select("id", providers.text_boxes(F.col("pdf"), Page()).alias("b"), providers.drawing_elements(F.col("pdf"), Page()).alias("e")).collect()}
+    assert [tuple(b) for b in got[1]["b"]] == [(0.0, 96.0, 192.0, 192.0, "a")] and got[2]["b"] == got[3]["b"] == []
+    assert [e["type"] for e in got[1]["e"]] == ["line"] and got[2]["e"] == []
+    assert {r["id"]: r["features"] for r in providers.features(df, "png", Page()).collect()} == {1: [2.0, 1.0], 2: [4.0, 1.0], 3: None}
+    scored = providers.perceptual_similarity(df.withColumn("ref", F.lit(b"ab")), "png", "ref", Page(), batch=1).collect()
+    assert {r["id"]: r["perceptual"] for r in scored} == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_commands(spark, tmp_path):
+    from limn.__main__ import main
+
+    at = lambda n: str(tmp_path / n)
+    spark.createDataFrame([(i, f"(1.23456,{i})" + (" lipsum" if i % 2 else "")) for i in range(10)], "orig_id long, code string").write.parquet(at("in"))
+    main(["both", "--input", at("in"), "--out-keep", at("k"), "--out-dump", at("d"), "--out-rounded", at("r"), "--out-sample", at("s"), "--samples-per-bin", "3", "--bin-strategy", "first"])
+    assert [r["orig_id"] for r in spark.read.parquet(at("s")).orderBy("orig_id").collect()] == [0, 2, 4] and spark.read.parquet(at("d")).count() == 5
+    main(["reorder", "--input", at("in"), "--output", at("w"), "--model", "limn.plans.catalogue:EchoModel"])
+    assert spark.read.parquet(at("w")).count() == 10
+    spark.createDataFrame([(i, b"x") for i in range(3)], "index long, image binary").write.parquet(at("img"))
+    main(["classify", "--input", at("img"), "--output", at("a"), "--model", "limn.providers:RecordedReplies", "--stats-csv", at("c")])
+    assert spark.read.csv(at("c"), header=True).first()["label"] == "mixed"
