@@ -291,3 +291,12 @@ def blank_image(data):
         return is_blank(decode_png(bytes(data)))
     except (ValueError, TypeError, KeyError, struct.error, zlib.error):
         return True
+
+
+@udf(returnType=T.BooleanType(), useArrow=True)
+def readable_png(data):
+    """Whether bytes are a PNG that can be decoded."""
+    try:
+        return decode_png(bytes(data)).size > 0
+    except (ValueError, TypeError, KeyError, struct.error, zlib.error):
+        return False

@@ -107,12 +107,18 @@ class LatexCompiler:
         return result
 
     def _page(self, folder: str) -> bytes | None:
+        """The last page without its white border, centred on a square; none where it is blank or can't be drawn."""
+        from limn.functions import imaging
+
         try:
-            rc, _ = run_group(["pdftoppm", "-png", "-singlefile", "-scale-to", str(self.size), "a.pdf", "page"], folder, self.timeout)
+            rc, _ = run_group(["pdftoppm", "-png", "-r", "200", "a.pdf", "page"], folder, self.timeout)
         except OSError:
             return None
-        page = Path(folder, "page.png")
-        return page.read_bytes() if rc == 0 and page.exists() else None
+        pages = sorted(Path(folder).glob("page*.png"), key=lambda p: (len(p.name), p.name))
+        if rc or not pages:
+            return None
+        pixels = imaging.on_white(imaging.decode_png(pages[-1].read_bytes()))
+        return None if imaging.is_blank(pixels) else imaging.encode_png(imaging.trim_square(pixels, self.size))
 
 
 @dataclass

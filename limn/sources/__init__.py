@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from limn.functions.imaging import normalised_cell
+from limn.functions.imaging import normalised_cell, readable_png
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -78,11 +78,18 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
-def image_cells(df: DataFrame, column: str, limit: int | None = None, key: str | None = None) -> DataFrame:
-    """df with an image column as struct<path, bytes, kind>; rows whose cell is null go. limit: the first rows by key."""
+def image_cells(df: DataFrame, column: str, limit: int | None = None, key: str | None = None, verify: bool = False, marker: str = "__INVALID__:") -> DataFrame:
+    """df with an image column as struct<path, bytes, kind>; rows whose cell is null go. limit: the first rows by key.
+
+    verify: a cell whose bytes aren't a readable PNG gets the marker before its path. Web addresses and paths aren't read.
+    """
     kind = {"binary": "binary", "string": "string"}.get(dict(df.dtypes)[column], "struct")
     rows = df.orderBy(key).limit(limit) if limit is not None and key else df
     cells = rows.withColumn(column, normalised_cell(F.col(column), kind))
+    if verify:
+        c = F.col(column)
+        path = F.when(c["bytes"].isNotNull() & ~readable_png(c["bytes"]), F.concat(F.lit(marker), F.coalesce(c["path"], F.lit("")))).otherwise(c["path"])
+        cells = cells.withColumn(column, F.when(c.isNotNull(), F.struct(path.alias("path"), c["bytes"].alias("bytes"), c["kind"].alias("kind"))))
     return cells.filter(F.col(column).isNotNull())
 
 

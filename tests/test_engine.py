@@ -244,6 +244,9 @@ def test_image_cells(spark):
     got = {r["id"]: tuple(r["image"]) for r in sources.image_cells(df, "image").collect()}
     assert got == {1: (None, bytearray(b"AB"), "data"), 2: ("http://x/y", None, "url"), 3: ("a/b.png", None, "path")}
     assert sources.image_cells(df, "image", 2, "id").count() == 2
+    png = spark.createDataFrame([(1, imaging.encode_png(np.zeros((2, 2), np.uint8))), (2, b"no")], "id long, image binary")
+    checked = sources.image_cells(png, "image", verify=True).select("id", filters.valid_image(F.coalesce("image.path", F.lit(""))).alias("ok"))
+    assert {r["id"]: r["ok"] for r in checked.collect()} == {1: True, 2: False}
 
 
 def test_bleu_of_equal_texts(spark):
