@@ -14,17 +14,20 @@ from __future__ import annotations
 from itertools import islice, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from limn.llm.common import need, utf8, written
 from limn.llm.components import components
 
 SEED = 42
-#: Classes in one bucket from which on links go through nodes of the Hamming cube rather than through pairs.
-CROWDED = 64
-_CHUNK = 1 << 16
+#: Classes in one bucket from which on links go through nodes of the Hamming cube rather than through pairs, or, where links
+#: are but candidates, which are verified by similarity, through leaders.
+CROWDED, CANDIDATES = 64, 8
+_CHUNK, _BINS = 1 << 16, 256
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -107,26 +110,109 @@ def _crowded_links(probes: DataFrame, hot: DataFrame, distance: int) -> DataFram
     return stars.select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, crowded: int = CROWDED) -> DataFrame:
+def signature(text: bytes, words: int) -> tuple[int, int, bytes]:
+    """Two fingerprints of a text's distinct words, and a sketch of its distinct word shingles.
+
+    Near copies keep most of their words, so these fingerprints stay closer than those of shingles. The sketch is one
+    permutation's least hash in each of _BINS ranges, as 16 bits, 0 where a range is empty.
+    """
+    tokens = text.lower().split()
+    if not tokens:
+        return 0, 0, bytes(2 * _BINS)
+    once = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, set(tokens))), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for a in range(0, len(once), _CHUNK):
+        ones += np.unpackbits(once[a : a + _CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    first, second = np.packbits(2 * ones > len(once), bitorder="little").view("<u8").tolist()
+    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(min(words, len(tokens))))))
+    h = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), "<u8"))
+    bins, at = np.unique(h >> np.uint64(64 - _BINS.bit_length() + 1), return_index=True)
+    sketch = np.zeros(_BINS, "<u2")
+    sketch[bins.astype(int)] = (h[at] & np.uint64(0xFFFF)) | np.uint64(1)
+    return first, second, sketch.tobytes()
+
+
+def signatures(docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """(doc_id, fp, u0, u1, sketch) for each document: `fingerprint` and `signature`."""
+    signed = lambda x: pa.array(np.array(x, "<u8").view("<i8"))
+
+    def run(batches):
+        for b in batches:
+            rows = [(fingerprint(t, words), *signature(t, similar)) for t in utf8(b, "text")]
+            fp, u0, u1, sketch = zip(*rows) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), signed(fp), signed(u0), signed(u1), pa.array(sketch, pa.binary())], ["doc_id", "fp", "u0", "u1", "sketch"])
+
+    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, u0 long, u1 long, sketch binary")
+
+
+@pandas_udf(T.DoubleType())
+def estimated_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarity of shingles, estimated from two sketches: ranges that agree, of those that aren't empty in both."""
+
+    def one(x: bytes, y: bytes) -> float:
+        p, q = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+        some = (p != 0) | (q != 0)
+        return float((p == q)[some].mean()) if some.any() else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+def similar_links(nodes: DataFrame, similarity: float, distance: int = 3) -> DataFrame:
+    """(a, b): links between nodes (rep, u0, u1, sketch) that are near by either fingerprint of words and whose sketches agree.
+
+    Both fingerprints are looked up at once, as tables of their own. In a bucket of CANDIDATES classes or more each class
+    is a candidate with three leaders (the smallest, the largest and a random one) instead of with every other.
+    """
+    both = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"u{t}").alias("fp")) for t in (0, 1))))
+    rows = nodes.select("rep", both.alias("x")).select("rep", "x.t", "x.fp")
+    classes = written(rows.groupBy("t", "fp").agg(F.min("rep").alias("rep")), "simhash-words")
+    members = rows.withColumnRenamed("rep", "b").join(classes, ["t", "fp"]).filter(F.col("b") != F.col("rep")).select(F.col("rep").alias("a"), "b")
+    keyed = lambda key, h: key + F.lit(h << 32) + F.shiftleft(F.col("t").cast("long"), 34)
+    index = classes.select("rep", "fp", F.explode(F.array(*(F.struct(keyed(_half(F.col("fp"), h), h).alias("key")) for h in (0, 1)))).alias("k")).select("rep", "fp", "k.key")
+    probes = classes.select("rep", "fp", "t", F.explode(F.concat(_ball(F.col("fp"), 0), _ball(F.col("fp"), 1))).alias("k")).select("rep", "fp", keyed(F.col("k"), 0).alias("key"))
+    crowd = written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("l0"), F.max("rep").alias("l1"), F.min_by("rep", F.xxhash64("rep")).alias("l2")).filter(F.col("n") >= CANDIDATES), "simhash-leaders")
+    i, p = index.join(crowd.select("key"), "key", "left_anti").alias("i"), probes.alias("p")
+    near = (F.bit_count(F.col("i.fp").bitwiseXOR(F.col("p.fp"))) <= distance) & (F.col("i.rep") != F.col("p.rep"))
+    pairs = i.join(p, (F.col("i.key") == F.col("p.key")) & near).select(F.col("i.rep").alias("a"), F.col("p.rep").alias("b"))
+    led = index.join(crowd, "key").select(F.explode(F.array("l0", "l1", "l2")).alias("a"), F.col("rep").alias("b"))
+    found = members.unionByName(pairs).unionByName(led).filter(F.col("a") != F.col("b"))
+    candidates = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
+    side = lambda x: nodes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    judged = candidates.join(side("a"), "a").join(side("b"), "b")
+    return judged.filter(estimated_similarity("sketch_a", "sketch_b") >= similarity).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, crowded: int = CROWDED, similarity: float | None = None, similar: int = 5) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text): the smallest doc_id that links reach.
 
+    Documents link whose fingerprints differ in at most `distance` bits. With a similarity, those also link whose shingles
+    of `similar` words are that similar, by an estimate over candidates that multi-index hashing of their words finds.
+
     Null and empty texts have fingerprint zero and link like any other. Repeated rows return as often. Rows without a
     doc_id link nothing and have no component. An empty table gives an empty result; other columns are ignored.
     """
-    fps = written(fingerprints(docs, words), "simhash-fps")
-    classes = written(fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    found = components(links(classes, distance, crowded))
+    made = fingerprints(docs, words) if similarity is None else signatures(docs, words, similar)
+    rows = written(made, "simhash-fps")
+    known, rest = rows.filter(F.col("doc_id").isNotNull()), [c for c in rows.columns if c not in ("doc_id", "fp")]
+    least = F.min(F.struct("doc_id", *rest)).alias("least")
+    classes = written(known.groupBy("fp").agg(least).select("fp", F.col("least.doc_id").alias("rep"), *(f"least.{c}" for c in rest)), "simhash-classes")
+    linked = links(classes.select("rep", "fp"), distance, crowded)
+    if similarity is not None:
+        linked = linked.unionByName(similar_links(classes, similarity, distance))
+    found = components(linked)
     of_class = classes.join(found, classes.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(of_class, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    return rows.select("doc_id", "fp").join(of_class, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 3, distance: int = 3, similarity: float | None = 0.8) -> DataFrame:
     """The rows of docs whose doc_id is their group's smallest; all its columns. Of rows that repeat a doc_id one stays.
 
     Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs, words, distance).filter((F.col("doc_id") == F.col("component_id")))
+    kept = near_duplicates(docs, words, distance, similarity=similarity).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    kept = written(kept, "simhash-kept")
     repeated = kept.groupBy("doc_id").count().filter("count > 1").take(1)
-    with_id = docs.filter(F.col("doc_id").isNotNull()).join(kept.select("doc_id"), "doc_id", "left_semi")
+    # Which ids are kept grows with the input: rows meet them by a merge join at every size, never by a broadcast.
+    with_id = docs.filter(F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id", "left_semi")
     with_id = with_id.dropDuplicates(["doc_id"]) if repeated else with_id
     return with_id.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)

@@ -104,11 +104,41 @@ def test_links_connect_what_pairs_connect(spark, crowded):
 def test_deduplicated_keeps_one_of_each_group(docs, odd):
     fps = {d: brute_fingerprint(t) for d, t in texts_of(docs)}
     want = sorted(d for d, c in brute_components(near(fps), list(fps)).items() if d == c)
-    kept = simhash.deduplicated(docs)
+    kept = simhash.deduplicated(docs, similarity=None)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == want
     assert Counter(r["doc_id"] for r in simhash.deduplicated(odd).collect())[4] == 1
 
 
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))}
+
+
+def test_similar_links_find_near_copies_and_nothing_else(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(3000)]
+    texts = []
+    for g in range(60):
+        base = rng.choices(words, k=rng.randint(80, 400))
+        for _ in range(4):
+            t = list(base)
+            for _ in range(max(1, len(t) // 80)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    texts += [" ".join(rng.choices(words, k=100)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, fps = [shingles(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    groups = defaultdict(list)
+    for d, c in got.items():
+        groups[c].append(d)
+    true = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(i, j) >= 0.8]
+    assert sum(got[i] == got[j] for i, j in true) >= 0.6 * len(true) > 50
+    for members in groups.values():
+        assert all(any(jaccard(i, j) >= 0.7 or (fps[i] ^ fps[j]).bit_count() <= 3 for j in members if j != i) for i in members if len(members) > 1)
+
+
 def test_components_of_chains_hubs_and_loops(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (3, 2), (200, 201), (201, 200), (None, 5)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}

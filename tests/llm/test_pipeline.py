@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 
 from limn.llm import quality, toxicity
-from tests.llm.test_operators import SF, brute_components, brute_fingerprint, check_packing, near
+from tests.llm.test_operators import SF, brute_components, brute_fingerprint, check_packing, near, shingles
 
 
 def test_stages_in_order(spark):
@@ -24,9 +24,13 @@ def test_stages_in_order(spark):
             want = [r for r in before if model.score(*features(r["text"].encode())) >= quality.THRESHOLD]
         elif k == 2:
             fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in before}
-            of = brute_components(near(fps), list(fps))
-            want = [r for r in before if of[r["doc_id"]] == r["doc_id"]]
-        if k < 3:
+            sets = {r["doc_id"]: shingles(r["text"]) for r in before}
+            alike = [(a, b) for a in fps for b in fps if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])]
+            near_ones, most = near(fps), brute_components(near(fps) + alike, list(fps))
+            least = brute_components(near_ones, list(fps))
+            assert Counter(after) <= Counter(r for r in before if least[r["doc_id"]] == r["doc_id"])
+            assert {r["doc_id"] for r in after} >= {d for d, c in most.items() if d == c}
+        if k < 2:
             assert Counter(after) == Counter(want)
         if k < 4:
             assert out.dtypes == docs.dtypes and after
