@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limn.llm.common import need
@@ -14,8 +18,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int) -> pd.DataFrame:
-    """(text, y) of at most `rows` labelled documents that aren't held out, with whole texts of at most `longest` bytes.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int) -> DataFrame:
+    """(doc_id, text, y) of at most `rows` labelled documents that aren't held out, with whole texts of at most `longest` bytes.
 
     These two are the bound of the sample, which is the same at any rerun: the first by a hash of the id, a half of the
     rows for either label as far as there are as many. Null texts and labels are left out; an id with several labels
@@ -26,8 +30,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, lon
     sizes = able.join(known, "doc_id").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
     picked = [sizes.filter(F.col("y") == y).orderBy("h", "doc_id").limit(rows // 2).select("doc_id", "y") for y in (0, 1)]
     ids = picked[0].unionByName(picked[1]).distinct()
-    found = able.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))  # `rows` rows at most
-    return found.toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)[["text", "y"]]
+    return able.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))  # `rows` rows at most
+
+
+def fitted(sample: DataFrame, fit: Callable):
+    """What fit(texts, labels) makes of a bounded sample (doc_id, text, y), in one task: the driver only gets the model.
+
+    The sample's order is that of its ids, so reruns give the same model.
+    """
+
+    def run(batches):
+        parts = [b.to_pandas() for b in batches]
+        rows = pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "text": [], "y": []})
+        rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+        model = fit(rows["text"].tolist(), rows["y"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(made["model"])) if made else fit([], np.zeros(0))
 
 
 def sigmoid(x):

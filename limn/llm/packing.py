@@ -32,7 +32,7 @@ GIVEN = 16
 #: Code points below this one are lower-cased and split alike by the tokenizer library and by Python (tested one by one).
 SHARED_CODE_POINTS = 0x250
 #: Words whose ids a worker keeps, of at most this many characters each; when full it starts anew. No result depends on it.
-KEPT_WORDS, KEPT_CHARACTERS = 600_000, 64
+KEPT_WORDS, KEPT_CHARACTERS = 400_000, 64
 #: The pre-token pattern of the tokenizer file with word ends.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = "\0"

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from limn.llm.common import need, utf8
-from limn.llm.labelled import calibrated, held_out, sigmoid, training_rows
+from limn.llm.labelled import calibrated, fitted, held_out, sigmoid, training_rows
 
 #: The bound of the training sample: rows, and bytes of each text.
 ROWS, LONGEST = 4_000, 30_000
 BUCKETS, FACTORS = 1 << 13, 6
 THRESHOLD = 0.5
 #: Words whose bucket a worker keeps; when full it starts anew. No result depends on it.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 STATISTICS = ("upper", "digits", "marks", "symbols", "exclamations", "pipes", "blanks", "lines", "beyond_ascii", "word_length", "distinct_words", "distinct_lines", "repeats", "stops", "log_bytes", "log_words")
 _KINDS = np.zeros((9, 256))
 for _row, _bytes in enumerate((range(65, 91), b"0123456789", b".,;:?'\"()-", b"#$%&*+/<=>@\\^_`{}~[]", b"!", b"|", b" \t\r\v\f", b"\n", range(128, 256))):
@@ -119,8 +119,7 @@ def fit(texts: list[str], labels, epochs: int = 8, rate: float = 0.05, batch: in
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Model:
     """A model of labels (doc_id, quality) over docs (doc_id, text); rows and longest bound the sample it learns from."""
-    sample = training_rows(docs, labels, "quality", rows, longest)
-    return fit(sample["text"].tolist(), sample["y"].to_numpy())
+    return fitted(training_rows(docs, labels, "quality", rows, longest), fit)
 
 
 @cache

@@ -9,22 +9,23 @@ n-gram's vector comes down to one number when scoring, and each distinct word to
 from __future__ import annotations
 
 import zlib
-from functools import cache
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from limn.llm.common import need, utf8
-from limn.llm.labelled import calibrated, held_out, sigmoid, training_rows
+from limn.llm.labelled import calibrated, fitted, held_out, sigmoid, training_rows
 
 #: The bound of the training sample: rows, and bytes of each text.
-ROWS, LONGEST = 6_000, 20_000
+ROWS, LONGEST = 5_000, 20_000
 BUCKETS, DIMENSIONS, WINDOW, TOPS = 1 << 17, 8, 8, 2
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.7
 #: Words whose score a worker keeps; when full it starts anew. No result depends on it.
-KEPT_WORDS, KEPT_BYTES = 400_000, 48
+KEPT_WORDS, KEPT_BYTES = 250_000, 48
 _EDGES = b".,;:!?\"'()[]{}%&#$*|"
 
 
@@ -55,6 +56,15 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(n - WINDOW + 1, 1), WINDOW)
 
 
+def raw_score(s: np.ndarray, model: Model) -> float:
+    """The mean of the TOPS largest means of a window of words' scores; usual clean words fill up less than one window."""
+    if len(s) < WINDOW:
+        return model.bias + (float(s.sum()) + (WINDOW - len(s)) * model.usual) / WINDOW
+    at = windows(len(s))
+    means = np.add.reduceat(s, at) / np.diff(at, append=len(s))
+    return model.bias + float((np.partition(means, -TOPS)[-TOPS:] if len(means) > TOPS else means).mean())
+
+
 class Scorer(dict):
     """Score of each word under a model."""
 
@@ -72,15 +82,9 @@ class Scorer(dict):
         return s
 
     def raw(self, text: bytes) -> float:
-        """The mean of the TOPS largest means of a window; usual clean words fill up a text of less than one window."""
+        """raw_score of the text's words."""
         words = tokens(text)
-        words_n, usual = len(words), self.model.usual
-        s = np.fromiter(map(self.__getitem__, words), float, words_n)
-        if words_n < WINDOW:
-            return self.model.bias + (float(s.sum()) + (WINDOW - words_n) * usual) / WINDOW
-        at = windows(words_n)
-        means = np.add.reduceat(s, at) / np.diff(at, append=words_n)
-        return self.model.bias + float((np.partition(means, -TOPS)[-TOPS:] if len(means) > TOPS else means).mean())
+        return raw_score(np.fromiter(map(self.__getitem__, words), float, len(words)), self.model)
 
     def score(self, text: bytes) -> float:
         a, b = self.model.curve
@@ -131,11 +135,18 @@ def fit(texts: list[str], labels, bags: int = 2, epochs: int = 12, rate: float =
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, (0.0, 6.0 if y.any() else -6.0), "constant")
     known: dict[bytes, int] = {}
-    docs = [np.fromiter((known.setdefault(w, len(known)) for w in tokens(t.encode())), int) for t in texts]
-    lists = [grams(w) for w in known]
-    length = np.array([len(x) for x in lists] or [0])
+    docs = []
+    for t in texts:
+        words = tokens(t.encode())
+        docs.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+    packed, length = array("i"), array("i")
+    for w in known:
+        g = grams(w)
+        packed.extend(g)
+        length.append(len(g))
+    del known
+    flat, length = np.frombuffer(packed, np.int32), np.frombuffer(length, np.int32) if length else np.zeros(1, np.int32)
     starts = np.concatenate([[0], np.cumsum(length)])
-    flat = np.fromiter((b for x in lists for b in x), int, int(starts[-1]))
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     learner = _Learner(seed, rate)
 
@@ -172,12 +183,11 @@ def fit(texts: list[str], labels, bags: int = 2, epochs: int = 12, rate: float =
     by_word = np.add.reduceat(numbers[flat], starts[:-1]) / length
     clean = [by_word[docs[i]].mean() for i in full if y[i] == 0]
     model = Model(numbers, float(np.mean(clean)) if clean else 0.0, float(learner.bias), (1.0, 0.0), f"{zlib.crc32(numbers.tobytes()):08x}")
-    scorer = Scorer(model)
-    model.curve = calibrated(np.array([scorer.raw(t.encode()) for t in texts]), y)
+    model.curve = calibrated(np.array([raw_score(by_word[d], model) for d in docs]), y)
     return model
 
 
-@cache
+@lru_cache(1)  # a worker goes through many jobs; only the last model's words stay
 def _scorer(name: str, held) -> Scorer:
     return Scorer(held.model)
 
@@ -197,8 +207,7 @@ class _Held:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Model:
     """A model of labels (doc_id, toxic) over docs (doc_id, text); rows and longest bound the sample it learns from."""
-    sample = training_rows(docs, labels, "toxic", rows, longest)
-    return fit(sample["text"].tolist(), sample["y"].to_numpy())
+    return fitted(training_rows(docs, labels, "toxic", rows, longest), fit)
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
