@@ -16,6 +16,7 @@ FIGURES = 4
 ROUNDED_KEYS = frozenset("pos out in xshift yshift shift rotate scale xscale yscale xmin xmax ymin ymax zmin zmax opacity".split())
 KEPT_KEYS = frozenset("name id node label classname class style prefix suffix compat version".split())
 
+#: Patterns of literals and of what stands around those that are rounded.
 _DIGITS = r"(?:\d+\.\d+|\d+|\.\d+)(?:[eE][-+]?\d+)?"
 _SIGNED = r"[-+]?" + _DIGITS
 _LITERAL = re.compile(r"(?:^|(?<=[\s,;=({\[+-]))\+?-?" + _DIGITS + r"(?=$|[\s,;:)}\]%])")

@@ -27,6 +27,7 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
+#: Fixed value: a fenced block, its body the group.
 FENCE = r"(?s)```[^\n`]*\n(.*?)```"
 
 
@@ -56,6 +57,7 @@ def squeeze_tags(response: Column) -> Column:
     return F.regexp_replace(response, r"(?U)\s*([<>/])\s*", "$1")
 
 
+#: Where the code of a reply is looked for, in this order.
 REPLY_PATTERNS = (r"(?Us)```latex\s*(.*?)\s*```", r"(?Us)```\s*(.*?)\s*```", r"(?s)<answer>(.*?)</answer>")
 
 

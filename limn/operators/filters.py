@@ -18,6 +18,7 @@ BLACKLIST = (
 #: Points allowed in one series, and in one axis.
 SERIES_LIMIT, AXIS_LIMIT = 16, 96
 
+#: Patterns of numbers, points, table lines and blocks, in Java's and RE2's syntax.
 NUMBER = r"[-+]?(?:\d+\.\d+|\d+|\.\d+)(?:[eE][-+]?\d+)?"
 POINT = rf"\(\s*{NUMBER}\s*,\s*{NUMBER}(?:\s*,\s*{NUMBER})?\s*\)"
 TABLE_LINE = rf"(?m)^\s*{NUMBER}\s+{NUMBER}\s*(?:\\\\)?\s*(?:%.*)?$"
