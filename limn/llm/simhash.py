@@ -25,7 +25,7 @@ from limn.llm.components import components
 
 SEED = 42
 #: Classes in one bucket from which on links go through nodes of the Hamming cube rather than through pairs, or, where links
-#: are but candidates, which are verified by similarity, through leaders.
+#: are but candidates, which are verified by similarity, through leaders first.
 CROWDED, CANDIDATES = 64, 8
 _CHUNK, _BINS = 1 << 16, 256
 
@@ -110,39 +110,45 @@ def _crowded_links(probes: DataFrame, hot: DataFrame, distance: int) -> DataFram
     return stars.select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b"))
 
 
-def signature(text: bytes, words: int) -> tuple[int, int, bytes]:
-    """Two fingerprints of a text's distinct words, and a sketch of its distinct word shingles.
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The distinct XXH3 values of all of a text's word shingles, ascending."""
+    tokens = text.lower().split()
+    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(min(words, len(tokens))))))
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), "<u8"))
+
+
+def signature(text: bytes, words: int) -> tuple[int, int, int, bytes]:
+    """Two fingerprints of a text's distinct words, the number of its distinct word shingles, and a sketch of these.
 
     Near copies keep most of their words, so these fingerprints stay closer than those of shingles. The sketch is one
     permutation's least hash in each of _BINS ranges, as 16 bits, 0 where a range is empty.
     """
     tokens = text.lower().split()
     if not tokens:
-        return 0, 0, bytes(2 * _BINS)
+        return 0, 0, 0, bytes(2 * _BINS)
     once = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, set(tokens))), np.uint8).reshape(-1, 16)
     ones = np.zeros(128, np.int64)
     for a in range(0, len(once), _CHUNK):
         ones += np.unpackbits(once[a : a + _CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     first, second = np.packbits(2 * ones > len(once), bitorder="little").view("<u8").tolist()
-    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(min(words, len(tokens))))))
-    h = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), "<u8"))
+    h = shingle_hashes(text, words)
     bins, at = np.unique(h >> np.uint64(64 - _BINS.bit_length() + 1), return_index=True)
     sketch = np.zeros(_BINS, "<u2")
     sketch[bins.astype(int)] = (h[at] & np.uint64(0xFFFF)) | np.uint64(1)
-    return first, second, sketch.tobytes()
+    return first, second, len(h), sketch.tobytes()
 
 
 def signatures(docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """(doc_id, fp, u0, u1, sketch) for each document: `fingerprint` and `signature`."""
+    """(doc_id, fp, u0, u1, n, sketch) for each document: `fingerprint` and `signature`."""
     signed = lambda x: pa.array(np.array(x, "<u8").view("<i8"))
 
     def run(batches):
         for b in batches:
             rows = [(fingerprint(t, words), *signature(t, similar)) for t in utf8(b, "text")]
-            fp, u0, u1, sketch = zip(*rows) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), signed(fp), signed(u0), signed(u1), pa.array(sketch, pa.binary())], ["doc_id", "fp", "u0", "u1", "sketch"])
+            fp, u0, u1, n, sketch = zip(*rows) if rows else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), signed(fp), signed(u0), signed(u1), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "fp", "u0", "u1", "n", "sketch"])
 
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, u0 long, u1 long, sketch binary")
+    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, u0 long, u1 long, n long, sketch binary")
 
 
 @pandas_udf(T.DoubleType())
@@ -157,32 +163,70 @@ def estimated_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def similar_links(nodes: DataFrame, similarity: float, distance: int = 3) -> DataFrame:
-    """(a, b): links between nodes (rep, u0, u1, sketch) that are near by either fingerprint of words and whose sketches agree.
+def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (rep, sketch) whose sketches are that similar."""
+    side = lambda x: nodes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    judged = pairs.join(side("a"), "a").join(side("b"), "b").filter(estimated_similarity("sketch_a", "sketch_b") >= similarity)
+    return written(judged.select("a", "b").distinct(), "simhash-similar")
+
+
+def _across(similarity: float):
+    """For a crowded bucket's rows (rep, flip, least, most, component): pairs that may link and aren't connected so far.
+
+    least, most: a node's numbers of shingles; it has several where texts share a doc_id.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("flip", kind="stable")
+        rep, of, least, most = (g[c].to_numpy() for c in ("rep", "component", "least", "most"))
+        found, share = [], similarity - 1e-9
+        for i in range(int((g["flip"] == 0).sum()) if (of != of[0]).any() else 0):
+            ok = (of[i + 1 :] != of[i]) & (most[i + 1 :] >= share * least[i]) & (most[i] >= share * least[i + 1 :])
+            if len(j := rep[i + 1 :][ok]):
+                found.append((np.minimum(j, rep[i]), np.maximum(j, rep[i])))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "i8"), np.zeros(0, "i8"))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def similar_links(nodes: DataFrame, linked: DataFrame, similarity: float, crowded: int = CANDIDATES) -> DataFrame:
+    """(a, b): linked and further links between nodes (rep, u0, u1, n, sketch), which connect just what all links connect.
 
-    Both fingerprints are looked up at once, as tables of their own. In a bucket of CANDIDATES classes or more each class
-    is a candidate with three leaders (the smallest, the largest and a random one) instead of with every other.
+    Two nodes link that meet, which is that a half of either fingerprint of words differs in at most one bit, and whose
+    shingles are that similar by their sketches. Both fingerprints are looked up at once, as tables of their own. In a
+    bucket of fewer than `crowded` nodes every pair is tried. In a crowded one, three leaders and the smallest node of each
+    fingerprint are tried first, and then every pair that isn't connected by then, so a group of copies makes few pairs.
     """
     both = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"u{t}").alias("fp")) for t in (0, 1))))
     rows = nodes.select("rep", both.alias("x")).select("rep", "x.t", "x.fp")
-    classes = written(rows.groupBy("t", "fp").agg(F.min("rep").alias("rep")), "simhash-words")
-    members = rows.withColumnRenamed("rep", "b").join(classes, ["t", "fp"]).filter(F.col("b") != F.col("rep")).select(F.col("rep").alias("a"), "b")
     keyed = lambda key, h: key + F.lit(h << 32) + F.shiftleft(F.col("t").cast("long"), 34)
-    index = classes.select("rep", "fp", F.explode(F.array(*(F.struct(keyed(_half(F.col("fp"), h), h).alias("key")) for h in (0, 1)))).alias("k")).select("rep", "fp", "k.key")
-    probes = classes.select("rep", "fp", "t", F.explode(F.concat(_ball(F.col("fp"), 0), _ball(F.col("fp"), 1))).alias("k")).select("rep", "fp", keyed(F.col("k"), 0).alias("key"))
-    crowd = written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("l0"), F.max("rep").alias("l1"), F.min_by("rep", F.xxhash64("rep")).alias("l2")).filter(F.col("n") >= CANDIDATES), "simhash-leaders")
-    i, p = index.join(crowd.select("key"), "key", "left_anti").alias("i"), probes.alias("p")
-    near = (F.bit_count(F.col("i.fp").bitwiseXOR(F.col("p.fp"))) <= distance) & (F.col("i.rep") != F.col("p.rep"))
-    pairs = i.join(p, (F.col("i.key") == F.col("p.key")) & near).select(F.col("i.rep").alias("a"), F.col("p.rep").alias("b"))
-    led = index.join(crowd, "key").select(F.explode(F.array("l0", "l1", "l2")).alias("a"), F.col("rep").alias("b"))
-    found = members.unionByName(pairs).unionByName(led).filter(F.col("a") != F.col("b"))
-    candidates = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
-    side = lambda x: nodes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    judged = candidates.join(side("a"), "a").join(side("b"), "b")
-    return judged.filter(estimated_similarity("sketch_a", "sketch_b") >= similarity).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, crowded: int = CROWDED, similarity: float | None = None, similar: int = 5) -> DataFrame:
+    index = rows.select("rep", F.explode(F.array(*(keyed(_half(F.col("fp"), h), h) for h in (0, 1)))).alias("key"))
+    ball = F.concat(*(F.transform(_ball(F.col("fp"), h), lambda k, i: F.struct(k.alias("key"), (i > 0).cast("int").alias("flip"))) for h in (0, 1)))
+    probes = rows.select("rep", "fp", "t", F.explode(ball).alias("k")).select("rep", "fp", "k.flip", keyed(F.col("k.key"), 0).alias("key"))
+    crowd = written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("l0"), F.max("rep").alias("l1"), F.min_by("rep", F.xxhash64("rep")).alias("l2")).filter(F.col("n") >= crowded), "simhash-leaders")
+    # A crowded bucket is one row without a node here, so the probes are dealt out once for both kinds.
+    marks = crowd.select(F.lit(None).cast("long").alias("rep"), "key")
+    i, p = index.join(crowd.select("key"), "key", "left_anti").select("rep", "key").unionByName(marks).alias("i"), probes.alias("p")
+    met = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.rep").isNull() | (F.col("i.rep") != F.col("p.rep"))))
+    met = written(met.select(F.col("i.rep").alias("a"), F.col("p.rep").alias("rep"), F.col("p.fp").alias("fp"), F.col("p.flip").alias("flip"), F.col("p.key").alias("key")), "simhash-met")
+    pairs, members = met.filter(F.col("a").isNotNull()).select("a", F.col("rep").alias("b")), met.filter(F.col("a").isNull()).drop("a")
+    own = members.filter("flip = 0")
+    led = own.join(crowd, "key").select(F.explode(F.array("l0", "l1", "l2")).alias("a"), F.col("rep").alias("b"))
+    same = own.join(own.groupBy("key", "fp").agg(F.min("rep").alias("a")), ["key", "fp"]).select("a", F.col("rep").alias("b"))
+    tidy = lambda x: x.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = written(tidy(pairs.unionByName(led).unionByName(same)), "simhash-candidates")
+    linked = written(linked.unionByName(verified(tried, nodes, similarity)), "simhash-linked")
+    if not crowd.take(1):
+        return linked
+    found = components(linked).select(F.col("id").alias("rep"), "component")
+    sized = nodes.groupBy("rep").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(found, "rep", "left").select("rep", "least", "most", F.coalesce("component", "rep").alias("component"))
+    across = members.drop("fp").join(sized, "rep").groupBy("key").applyInPandas(_across(similarity), "a long, b long")
+    left = written(across.distinct().join(tried, ["a", "b"], "left_anti"), "simhash-across")
+    return linked.unionByName(verified(left, nodes, similarity)) if left.take(1) else linked
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, crowded: int = CROWDED, similarity: float | None = None, similar: int = 5, candidates: int = CANDIDATES) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text): the smallest doc_id that links reach.
 
     Documents link whose fingerprints differ in at most `distance` bits. With a similarity, those also link whose shingles
@@ -198,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, crowded:
     classes = written(known.groupBy("fp").agg(least).select("fp", F.col("least.doc_id").alias("rep"), *(f"least.{c}" for c in rest)), "simhash-classes")
     linked = links(classes.select("rep", "fp"), distance, crowded)
     if similarity is not None:
-        linked = linked.unionByName(similar_links(classes, similarity, distance))
+        linked = similar_links(classes, linked, similarity, candidates)
     found = components(linked)
     of_class = classes.join(found, classes.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return rows.select("doc_id", "fp").join(of_class, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
