@@ -28,6 +28,8 @@ SEED = 42
 #: are but candidates, which are verified by similarity, through leaders first.
 CROWDED, CANDIDATES = 64, 8
 _CHUNK, _BINS = 1 << 16, 256
+#: Six standard errors of a sketch's estimate near 0.8.
+MARGIN = 0.15
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -163,10 +165,36 @@ def estimated_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes (rep, sketch) whose sketches are that similar."""
+@pandas_udf(T.DoubleType())
+def exact_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarity of two whole sets of `shingle_hashes`; of two empty ones: 0."""
+
+    def one(x: bytes, y: bytes) -> float:
+        p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return both / (len(p) + len(q) - both) if both else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, similar: int) -> DataFrame:
+    """The pairs (a, b) of nodes (rep, sketch) whose shingles are that similar by exact count.
+
+    Sketches only spare the count where they are further below than MARGIN.
+    """
     side = lambda x: nodes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    judged = pairs.join(side("a"), "a").join(side("b"), "b").filter(estimated_similarity("sketch_a", "sketch_b") >= similarity)
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(estimated_similarity("sketch_a", "sketch_b") >= similarity - MARGIN)
+    likely = written(likely.select("a", "b").distinct(), "simhash-likely")
+    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def run(batches):
+        for b in batches:
+            sets = pa.array([shingle_hashes(t, similar).tobytes() for t in utf8(b, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), sets], ["id", "hashes"])
+
+    sets = written(need(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, hashes binary"), "simhash-sets")
+    whole = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}"))
+    judged = likely.join(whole("a"), "a").join(whole("b"), "b").filter(exact_similarity("hashes_a", "hashes_b") >= similarity)
     return written(judged.select("a", "b").distinct(), "simhash-similar")
 
 
@@ -190,11 +218,11 @@ def _across(similarity: float):
     return run
 
 
-def similar_links(nodes: DataFrame, linked: DataFrame, similarity: float, crowded: int = CANDIDATES) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, linked: DataFrame, similarity: float, similar: int = 5, crowded: int = CANDIDATES) -> DataFrame:
     """(a, b): linked and further links between nodes (rep, u0, u1, n, sketch), which connect just what all links connect.
 
     Two nodes link that meet, which is that a half of either fingerprint of words differs in at most one bit, and whose
-    shingles are that similar by their sketches. Both fingerprints are looked up at once, as tables of their own. In a
+    shingles are that similar by exact count. Both fingerprints are looked up at once, as tables of their own. In a
     bucket of fewer than `crowded` nodes every pair is tried. In a crowded one, three leaders and the smallest node of each
     fingerprint are tried first, and then every pair that isn't connected by then, so a group of copies makes few pairs.
     """
@@ -216,21 +244,21 @@ def similar_links(nodes: DataFrame, linked: DataFrame, similarity: float, crowde
     same = own.join(own.groupBy("key", "fp").agg(F.min("rep").alias("a")), ["key", "fp"]).select("a", F.col("rep").alias("b"))
     tidy = lambda x: x.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = written(tidy(pairs.unionByName(led).unionByName(same)), "simhash-candidates")
-    linked = written(linked.unionByName(verified(tried, nodes, similarity)), "simhash-linked")
+    linked = written(linked.unionByName(verified(tried, nodes, docs, similarity, similar)), "simhash-linked")
     if not crowd.take(1):
         return linked
     found = components(linked).select(F.col("id").alias("rep"), "component")
     sized = nodes.groupBy("rep").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(found, "rep", "left").select("rep", "least", "most", F.coalesce("component", "rep").alias("component"))
     across = members.drop("fp").join(sized, "rep").groupBy("key").applyInPandas(_across(similarity), "a long, b long")
     left = written(across.distinct().join(tried, ["a", "b"], "left_anti"), "simhash-across")
-    return linked.unionByName(verified(left, nodes, similarity)) if left.take(1) else linked
+    return linked.unionByName(verified(left, nodes, docs, similarity, similar)) if left.take(1) else linked
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, crowded: int = CROWDED, similarity: float | None = None, similar: int = 5, candidates: int = CANDIDATES) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text): the smallest doc_id that links reach.
 
     Documents link whose fingerprints differ in at most `distance` bits. With a similarity, those also link whose shingles
-    of `similar` words are that similar, by an estimate over candidates that multi-index hashing of their words finds.
+    of `similar` words are that similar, by exact count over candidates that multi-index hashing of their words finds.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows return as often. Rows without a
     doc_id link nothing and have no component. An empty table gives an empty result; other columns are ignored.
@@ -242,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, crowded:
     classes = written(known.groupBy("fp").agg(least).select("fp", F.col("least.doc_id").alias("rep"), *(f"least.{c}" for c in rest)), "simhash-classes")
     linked = links(classes.select("rep", "fp"), distance, crowded)
     if similarity is not None:
-        linked = similar_links(classes, linked, similarity, candidates)
+        linked = similar_links(docs, classes, linked, similarity, similar, candidates)
     found = components(linked)
     of_class = classes.join(found, classes.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return rows.select("doc_id", "fp").join(of_class, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

@@ -6,12 +6,12 @@ import numpy as np
 import pytest
 
 from limn.llm import simhash
-from tests.llm.test_operators import brute_components, brute_fingerprint, near
+from tests.llm.test_operators import brute_components, brute_fingerprint, near, shingles
 
 
-def sketched(a: bytes, b: bytes) -> float:
-    p, q = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
-    return float((p == q)[(p != 0) | (q != 0)].mean())
+def jaccard(a: str, b: str) -> float:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
 
 
 def meet(x: int, y: int) -> bool:
@@ -37,9 +37,28 @@ def test_crowded_buckets_lose_no_pair(spark, candidates):
                     t[rng.randrange(len(t))] = rng.choice(words)
                 texts.append(" ".join(t))
     fps = {d: brute_fingerprint(t) for d, t in enumerate(texts)}
-    signed = [simhash.signature(t.encode(), 5) for t in texts]
-    words_of = [s[:2] for s in signed]
+    words_of = [simhash.signature(t.encode(), 5)[:2] for t in texts]
     close = [(a, b) for a in fps for b in fps if a < b and any(map(meet, words_of[a], words_of[b]))]
-    alike = [(a, b) for a, b in close if sketched(signed[a][-1], signed[b][-1]) >= 0.8]
+    alike = [(a, b) for a, b in close if jaccard(texts[a], texts[b]) >= 0.8]
     assert len(alike) >= 50 and len(close) > 3 * len(alike)
     assert grouped(spark, texts, candidates=candidates) == brute_components(near(fps) + alike, list(fps))
+
+
+def test_links_are_verified_by_whole_shingle_sets(spark):
+    """Pairs just below and just above 0.8, of which a sketch takes some for the other kind."""
+    rng, texts, wrong = random.Random(8), [], 0
+    while len(texts) < 120:
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(900)]
+        other = words[: 800 + rng.choice([-9, -6, -3, 3, 6, 9])]
+        a, b = " ".join(words[:-1]), " ".join(other + [w for w in reversed(words[len(other) :])])
+        texts += [a, b]
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2)]
+    fps = {d: brute_fingerprint(t) for d, t in enumerate(texts)}
+    signed = [simhash.signature(t.encode(), 5) for t in texts]
+    close = [(a, b) for a, b in pairs if any(map(meet, signed[a][:2], signed[b][:2]))]
+    alike = [(a, b) for a, b in close if jaccard(texts[a], texts[b]) >= 0.8]
+    for a, b in close:
+        p, q = (np.frombuffer(signed[d][-1], "<u2") for d in (a, b))
+        wrong += (float((p == q)[(p != 0) | (q != 0)].mean()) >= 0.8) != (jaccard(texts[a], texts[b]) >= 0.8)
+    assert wrong >= 3 and 0 < len(alike) < len(close)
+    assert grouped(spark, texts) == brute_components(near(fps) + alike, list(fps))
