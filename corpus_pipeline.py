@@ -25,8 +25,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their source's target takes them, in training order."""
-    return mixing.curriculum(docs)
+    """The documents, each whole, as often as their source's target takes them, in training order."""
+    return mixing.curriculum(docs, whole=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,18 +116,20 @@ def _position(done: Column, kind: Column, curves, classes: int) -> Column:
     return out
 
 
-def curriculum(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = 3, curves=CURVES) -> DataFrame:
+def curriculum(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = 3, curves=CURVES, whole: bool = False) -> DataFrame:
     """The rows of docs (doc_id, text, source, other columns) as often as the mix takes them, sorted by training position.
 
     A row of size n that is taken for k * n + m words comes k times whole and, if m > 0, once with its first m words
-    (and n_chars, where docs has it, as long as that text). Partitions are ranges of positions. Documents without a word are not taken.
+    (and n_chars, where docs has it, as long as that text). With `whole`
+    that last copy is whole instead, or left out where that is nearer to the m words. Partitions are ranges of positions. Documents without a word are not taken.
     """
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("doc"))
     mix = mixed(rows, weights, share, cap, curves).filter("mix.taken > 0").withColumn("row", F.col("row.doc"))
     m = lambda c: F.col(f"mix.{c}")
-    copies = mix.select("*", F.posexplode(F.sequence(F.lit(1), F.ceil(m("taken") / m("size")).cast("int"))).alias("copy", "nth"))
+    times = (F.round if whole else F.ceil)(m("taken") / m("size")).cast("int")
+    copies = mix.filter(times > 0).select("*", F.posexplode(F.sequence(F.lit(1), times)).alias("copy", "nth"))
     start = F.col("copy") * m("source_size") + m("start")
-    take = F.least(m("size"), m("taken") - F.col("copy") * m("size"))
+    take = m("size") if whole else F.least(m("size"), m("taken") - F.col("copy") * m("size"))
     timed = copies.select("row", take.alias("take"), m("size").alias("size"), _position(start / m("budget"), m("class"), curves, len(weights)).alias("position"), F.xxhash64("row.doc_id", "copy").alias("tie"))
     text = F.when(F.col("take") < F.col("size"), first_words(F.col("row.text"), F.col("take"))).otherwise(F.col("row.text"))
     changed = {"text": text, "n_chars": F.when(F.col("take") < F.col("size"), F.char_length(text).cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}

@@ -4,8 +4,9 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from limn.llm import quality, toxicity
+from limn.llm import mixing, quality, toxicity
 from tests.llm.test_operators import SF, brute_components, brute_fingerprint, check_packing, near, shingles
 
 
@@ -44,3 +45,18 @@ def test_run_is_registered():
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert all(any(n.startswith(f"op{i}_") for n in __spark_entry__.queries()) for i in range(1, 11))
+
+
+def test_mixed_keeps_texts_whole(spark):
+    """Ten documents of 100 words a source: targets end within documents, of which some are nearer whole and some left out."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(100)), "en", "abcde"[i % 5], 0) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    before = {r["doc_id"]: r for r in docs.collect()}
+    got = corpus_pipeline.mixed(spark, docs, SF).collect()
+    assert all(r == before[r["doc_id"]] for r in got)
+    source, target, plan = {d: r["source"] for d, r in before.items()}, {}, mixing.mix_report(docs).collect()
+    for r in plan:
+        target[source[r["doc_id"]]] = r["target"]
+    words = Counter(source[r["doc_id"]] for r in got)
+    assert any(r["taken"] % 100 for r in plan)
+    assert all(abs(100 * words[s] - t) <= 51 for s, t in target.items())
