@@ -172,6 +172,11 @@ def page_style_and_prompt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", md5(text.inject_page_style(t, r"\pagestyle{empty}")).alias("styled"), md5(text.user_prompt(t, "Go")).alias("prompt"), text.rot13(F.substring(t, 1, 40)).alias("rot13"))
 
 
+@query("SELECT doc_id, md5(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM')) AS rot13 FROM documents")
+def rot13_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.rot13(F.col("text")).cast("binary")).alias("rot13"))
+
+
 @query("SELECT doc_id, substr(sha1(text), 1, 8) || '_f' || doc_id || '.png' AS name, md5(text) AS decoded, '/out/' || source || '/f' || doc_id || '.tex' AS path FROM documents")
 def hashes_and_paths(spark, sf_dir):
     data, name = F.col("text").cast("binary"), F.concat(F.lit("/in/"), F.col("source"), F.lit("/f"), F.col("doc_id"))
