@@ -366,6 +366,19 @@ def metric_pivot(spark, sf_dir):
     return pipelines.long_metrics(rows, ["ssim", "psnr"])
 
 
+@query("""SELECT coalesce(a.f, b.f) AS filename, a.v AS ssim, b.v AS psnr FROM (SELECT 'f' || doc_id AS f, n_chars % 100 AS v FROM documents) a
+    FULL JOIN (SELECT 'f' || doc_id AS f, quality AS v FROM labels) b ON a.f = b.f""")
+def metric_merge_all(spark, sf_dir):
+    of = lambda name, value: table(spark, sf_dir, name).select(F.concat(F.lit("f"), F.col("doc_id")).alias("filename"), value)
+    return pipelines.merged_metrics([of("documents", (F.col("n_chars") % 100).alias("ssim")), of("labels", F.col("quality").alias("psnr"))])
+
+
+@query("SELECT 'f' || doc_id AS filename, max(ssim) AS ssim, max(psnr) AS psnr FROM (SELECT doc_id, n_chars % 100 AS ssim, NULL AS psnr FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels) GROUP BY 1")
+def metric_pivot_all(spark, sf_dir):
+    of = lambda name, metric, value: table(spark, sf_dir, name).select(F.concat(F.lit("f"), F.col("doc_id")).alias("filename"), F.lit(metric).alias("metric"), value.cast("long").alias("value"))
+    return pipelines.long_metrics(of("documents", "ssim", F.col("n_chars") % 100).unionByName(of("labels", "psnr", F.col("quality"))), ["ssim", "psnr"])
+
+
 @query("SELECT (SELECT count(*) FROM labels) || '/' || (SELECT count(*) FROM documents) AS coverage")
 def coverage_string(spark, sf_dir):
     n = lambda name, c: table(spark, sf_dir, name).agg(F.count("*").alias(c))

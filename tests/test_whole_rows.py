@@ -3,6 +3,8 @@
 import codecs
 import hashlib
 
+import pytest
+
 from limn.plans.catalogue import QUERIES
 from tests.test_catalogue import SF
 
@@ -12,3 +14,11 @@ def test_rot13_covers_whole_texts(spark):
     want = {d: hashlib.md5(codecs.encode(t, "rot13").encode()).hexdigest() for d, t in texts.items()}
     assert any(len(t) > 40 for t in texts.values())
     assert {r["doc_id"]: r["rot13"] for r in QUERIES["rot13_text"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["metric_merge_all", "metric_pivot_all"])
+def test_metrics_keep_every_document(spark, name):
+    names = {f"f{r['doc_id']}" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES[name](spark, SF).collect()
+    assert len(got) == len(names) and {r["filename"] for r in got} == names
+    assert all(r["ssim"] is not None for r in got) and 0 < sum(r["psnr"] is not None for r in got) < len(got)
