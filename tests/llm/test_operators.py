@@ -23,7 +23,7 @@ ODD = [None, "", "one", "two words", "A b C d e", "é É ß 日本 <|endoftext|>
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+    return spark.read.parquet(f"{SF}/documents.parquet")
 
 
 @pytest.fixture(scope="module")
