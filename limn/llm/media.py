@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from limn.llm.common import need, scratch_path, utf8
+from limn.llm.common import need, scratch_path, split_join, utf8, written
 
 #: Samples in a row of an image: payloads are filled up with zeros to a positive multiple of it.
 WIDTH = 64
@@ -176,12 +176,10 @@ def resolved(found: DataFrame, kept: DataFrame, key: str = "page_id") -> DataFra
     """(key, position, kind, text, digest, caption, media columns): the elements of sequences, each media reference with
     what `kept` (digest, other columns; one row a digest) has under its digest, or nulls where it has nothing.
 
-    Elements keep their positions and captions. Those without a digest get keys of their own that nothing has, so that
-    they don't meet in one task.
+    Elements keep their positions and captions. One medium may hold any share of all references: see `split_join`.
     """
-    rows = found.select(key, F.explode("elements").alias("e")).select(key, "e.*")
-    own = F.coalesce("digest", F.concat(F.lit("none "), F.xxhash64(key, "position").cast("string")))
-    return rows.withColumn("of", own).join(kept.withColumnRenamed("digest", "of"), "of", "left").drop("of")
+    rows = written(found.select(key, F.explode("elements").alias("e")).select(key, "e.*"), "media-elements")
+    return split_join(rows, kept, "digest")
 
 
 def payloads(docs: DataFrame) -> DataFrame:
@@ -192,7 +190,7 @@ def payloads(docs: DataFrame) -> DataFrame:
     Repeated rows return as often; null ids stay null; an empty table gives an empty result; other columns are ignored.
     """
     d = need(docs, "doc_id", "text")
-    kept = store(d, scratch_path(docs.sparkSession, "media"))
+    kept = written(features(store(d, scratch_path(docs.sparkSession, "media"))), "media-features")
 
     def run(batches):
         for b in batches:
@@ -201,4 +199,4 @@ def payloads(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "html"])
 
     pages = d.mapInArrow(run, "doc_id long, n_bytes long, html string").withColumn("own", F.struct("doc_id", "n_bytes"))
-    return resolved(sequences(pages, "own"), features(kept), "own").filter(F.col("kind") == "media").select("own.*", "position", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return resolved(sequences(pages, "own"), kept, "own").filter(F.col("kind") == "media").select("own.*", "position", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

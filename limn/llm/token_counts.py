@@ -18,27 +18,48 @@ from tokenizers import Tokenizer
 
 from limn.llm.common import need, utf8
 
-#: Code points below this one are split alike by the tokenizer library and by `regex` (tested one by one). A text that
-#: has others is encoded by the library as a whole, since the two know different versions of Unicode.
+#: Code points below this one are split alike by the tokenizer library and by `regex` (tested one by one). Each other one
+#: is tried where it first comes: the two know different versions of Unicode.
 SHARED_CODE_POINTS = 0x250
 #: Stretches whose counts a worker keeps, of at most this many characters each; when full it starts anew. No result depends on it.
 KEPT_STRETCHES, KEPT_CHARACTERS = 500_000, 64
 #: With one of these in a text, a space may not begin a pre-token, or other white space may come next to one.
 ODD_BLANKS = ("  ", " \n", "\n ", "\t", "\v", "\f", "\r", "\x85", "\xa0")
+#: Spaces between two characters that no version of Unicode holds for white space: each begins a pre-token.
+_BETWEEN = re.compile(r"(?<=[^\s\u180e\u200b-\u200d\u2060\ufeff]) (?=[^\s\u180e\u200b-\u200d\u2060\ufeff])")
 #: The pre-token pattern of the byte-level tokenizer files.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Alike(dict):
+    """Whether a character is split alike by the tokenizer library and by `regex`: tried where it first comes.
+
+    The pattern tells letters, numbers, white space and others apart, so one string that splits differently for each of
+    these proves that both take a character for the same kind.
+    """
+
+    def __init__(self, tok: Tokenizer):
+        self.split, self.pieces = tok.pre_tokenizer.pre_tokenize_str, regex.compile(BYTE_LEVEL).finditer
+
+    def __missing__(self, c: str) -> bool:
+        s = f"a{c}1 {c}"
+        self[c] = [o for _, o in self.split(s)] == [m.span() for m in self.pieces(s)]
+        return self[c]
+
+    def all(self, text: str) -> bool:
+        return text.isascii() or all(map(self.__getitem__, set(text)))
+
+
 def whole_tokens(path: str) -> frozenset[str]:
     """The strings that are one pre-token and encode alone as one token: proven by encoding each vocabulary string.
 
-    Strings with code points that the shortcut does not split itself are left out.
+    Strings with characters that the shortcut can't split itself are left out.
     """
     tok = Tokenizer.from_file(path)
-    special = {t.content for t in tok.get_added_tokens_decoder().values()}
+    special, alike = {t.content for t in tok.get_added_tokens_decoder().values()}, Alike(tok)
     text = sorted({tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())} - special - {""})
-    pattern, other = regex.compile(BYTE_LEVEL), re.compile(f"[^\\x00-{chr(SHARED_CODE_POINTS - 1)}]")
-    able = [t for t in text if not other.search(t) and pattern.fullmatch(t)]
+    pattern = regex.compile(BYTE_LEVEL)
+    able = [t for t in text if alike.all(t) and pattern.fullmatch(t)]
     return frozenset(t for t, e in zip(able, tok.encode_batch(able, add_special_tokens=False)) if len(e.ids) == 1)
 
 
@@ -76,7 +97,9 @@ class Counter(dict):
             raise ValueError(f"{path} is not a byte-level tokenizer without a normalizer")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.pieces, self.other = regex.compile(BYTE_LEVEL).findall, re.compile(f"[^\\x00-{chr(SHARED_CODE_POINTS - 1)}]")
-        self.merge = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks(self.tok), special_tokens={}).encode_ordinary
+        self.alike = Alike(self.tok)
+        # What is merged is one pre-token already: this pattern takes it whole.
+        self.merge = tiktoken.Encoding(path, pat_str=r"(?s).+", mergeable_ranks=ranks(self.tok), special_tokens={}).encode_ordinary
 
     def stretch(self, text: str) -> int:
         whole, merge = self.whole, self.merge
@@ -93,9 +116,18 @@ class Counter(dict):
             self[chunk] = n
         return n
 
+    def by_library(self, text: str) -> int:
+        return len(self.tok.encode(text, add_special_tokens=False).ids)
+
     def count(self, text: str) -> int:
-        if any(map(text.__contains__, self.special)) or not text.isascii() and self.other.search(text):
-            return len(self.tok.encode(text, add_special_tokens=False).ids)
+        """Tokens of a text. Special strings make it the library's; characters that it may split otherwise, their stretches."""
+        if any(map(text.__contains__, self.special)):
+            return self.by_library(text)
+        if not text.isascii() and self.other.search(text):
+            if self.alike.all(text):
+                return self.stretch(text)
+            parts = _BETWEEN.sub("\0 ", text).split("\0") if "\0" not in text else [text]
+            return sum(self.stretch(p) if self.alike.all(p) else self.by_library(p) for p in parts)
         if text[:1] == " " or text[-1:] == " " or any(map(text.__contains__, ODD_BLANKS)):
             return self.stretch(text)
         first, *rest = text.split(" ")
