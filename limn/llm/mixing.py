@@ -30,8 +30,12 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(ends, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "")
 
 
-def running(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
-    """df with, for each new column of sums, the sum of the old column over all rows before this one."""
+def running(df: DataFrame, order: list[str], sums: dict[str, str], name: str, found: DataFrame | None = None, key: str = "") -> DataFrame:
+    """df with, for each new column of sums, the sum of the old column over all rows before this one.
+
+    found: a table with one row for each value of key (null too), by which the rows are ordered; its other columns are
+    joined. They are dealt out by partition and key, so a key with any share of the rows is split as the rows are.
+    """
     own = [f"_own_{s}" for s in sums]
     dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
     totals = dealt.groupBy("_part").agg(*(F.sum(v).alias(o) for o, v in zip(own, sums.values())))
@@ -40,7 +44,12 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str], name: str) ->
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = dealt.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(s) for s, v in sums.items()))
     joined = within.join(F.broadcast(starts), "_part")  # no more rows than partitions
-    return joined.withColumns({s: F.col(s) + F.col(o) for s, o in zip(sums, own)}).drop("_part", *own)
+    summed = joined.withColumns({s: F.col(s) + F.col(o) for s, o in zip(sums, own)})
+    if found is not None:
+        parts = dealt.select(F.col("_part").alias("_at"), F.col(key).alias("_key")).distinct()  # partitions and keys rows at most
+        by_part = parts.join(found.withColumnRenamed(key, "_of"), F.col("_key").eqNullSafe(F.col("_of"))).drop("_of")
+        summed = summed.join(by_part, (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key"))).drop("_at", "_key")
+    return summed.drop("_part", *own)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = 3) -> DataFrame:
@@ -94,9 +103,8 @@ def mixed(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float =
     """
     laid = rows.select(F.struct(*rows.columns).alias("row"), F.col("source").isNull().alias("last"), F.col("source"), order_hash(F.col("doc_id")).alias("order"), F.col("doc_id").alias("tie"), F.col("size").alias("words"))
     sizes = written(laid.groupBy("source").agg(F.sum("words").alias("source_size")), "mixing-sizes")
-    goal = targets(sizes, weights, share, cap).select(F.col("source").alias("of"), F.struct("source_size", "class", "base", "target").alias("goal"))
-    placed = running(laid, ["last", "source", "order", "tie", "words"], {"before": "words"}, "mixing-rows")
-    j = placed.join(goal, F.col("source").eqNullSafe(F.col("of")))
+    goal = targets(sizes, weights, share, cap).select("source", F.struct("source_size", "class", "base", "target").alias("goal"))
+    j = running(laid, ["last", "source", "order", "tie", "words"], {"before": "words"}, "mixing-rows", goal, "source")
     size, n = F.col("words"), F.col("goal.source_size")
     j = j.withColumn("budget", F.round("goal.target").cast("long")).withColumn("start", F.col("before") - F.col("goal.base"))
     j = j.withColumn("passes", F.when(n > 0, F.floor(F.col("budget") / n)).otherwise(0).cast("long"))
@@ -120,8 +128,10 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     """The rows of docs (doc_id, text, source, other columns) as often as the mix takes them, sorted by training position.
 
     A row of size n that is taken for k * n + m words comes k times whole and, if m > 0, once with its first m words
-    (and n_chars, where docs has it, as long as that text). With `whole`
-    that last copy is whole instead, or left out where that is nearer to the m words. Partitions are ranges of positions. Documents without a word are not taken.
+    (and n_chars, where docs has it, as long as that text). With `whole` that last copy is whole instead, or left out
+    where that is nearer to the m words. Partitions are ranges of positions. Documents without a word, so null and empty
+    texts, are not taken. Null sources are a source, the last; repeated rows are each taken; null ids stay null; an empty
+    table gives an empty result; other columns stay as they are, whatever their names.
     """
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("doc"))
     mix = mixed(rows, weights, share, cap, curves).filter("mix.taken > 0").withColumn("row", F.col("row.doc"))

@@ -40,7 +40,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(_read(spark, sf_dir, "documents"))
+    return mixing.mix_report(_read(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op2_media_columns, op3_token_counts, op4_best_fit_packing, op5_toxicity, op6_quality, op7_source_mixing, op8_exact_top_k, op9_warc_reassembly, op10_license_scan)}
 
 ORACLE_SQL = {
+    "op7_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+        w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) AS class, 3 * n AS lim FROM s),
+        f AS (SELECT *, class + 1 AS weight, lim / CAST(class + 1 AS DOUBLE) AS ratio FROM w),
+        a AS (SELECT CAST(sum(n) AS BIGINT) AS words, CAST(sum(weight) AS BIGINT) AS weights FROM f),
+        b AS (SELECT *, coalesce(sum(lim) OVER o, 0) AS lims, coalesce(sum(weight) OVER o, 0) AS ws FROM f WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        m AS (SELECT b.*, (a.words - lims) * weight > lim * (a.weights - ws) AS stopped FROM b, a),
+        l AS (SELECT (a.words - g.n) / CAST(a.weights - g.w AS DOUBLE) AS level FROM a, (SELECT coalesce(sum(lim) FILTER (stopped), 0) AS n, coalesce(sum(weight) FILTER (stopped), 0) AS w FROM m) g),
+        t AS (SELECT source, n, class, CASE WHEN stopped THEN CAST(lim AS DOUBLE) ELSE least(weight * level, CAST(lim AS DOUBLE)) END AS target FROM m, l),
+        p AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+        j AS (SELECT doc_id, size, n, class, target, start, CAST(round(target) AS BIGINT) AS budget FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+        k AS (SELECT *, CASE WHEN n > 0 THEN budget // n ELSE 0 END AS passes FROM j),
+        x AS (SELECT *, CAST(passes * size + least(greatest(budget - passes * n - start, 0), size) AS BIGINT) AS taken, CAST(start AS DOUBLE) / CAST(budget AS DOUBLE) AS y FROM k)
+        SELECT doc_id, size, n AS source_size, target, taken, CASE WHEN taken = 0 THEN NULL ELSE round(CASE class
+            WHEN 0 THEN 2 * y / (1.5 + sqrt(greatest(2.25 - 2 * y, 0)))
+            WHEN 1 THEN y
+            ELSE CASE WHEN y <= 0.375 THEN 2 * y / (0.5 + sqrt(0.25 + 2 * y)) ELSE 0.5 + 2 * (y - 0.375) / (1 + sqrt(1 + 2 * (y - 0.375))) END END, 9) END AS position
+        FROM x""",
     "op8_exact_top_k": """
         WITH u AS (SELECT DISTINCT vec_id, embedding FROM embeddings),
         v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM u

@@ -127,8 +127,8 @@ def fit(texts: list[str], labels, bags: int = 2, epochs: int = 12, rate: float =
     """Trains embeddings and softmax jointly by adaptive gradients.
 
     The first `bags` epochs see each document as one bag of all its words. Then each document stands for its most toxic
-    windows so far, and one that isn't toxic for a random one too. Both labels weigh the same. Without both labels every
-    score is the same.
+    windows so far, and one that isn't toxic for a random one too. Both labels weigh the same. Without both labels,
+    or without a word in any text, every score is the same.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, float)
@@ -139,6 +139,8 @@ def fit(texts: list[str], labels, bags: int = 2, epochs: int = 12, rate: float =
     for t in texts:
         words = tokens(t.encode())
         docs.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+    if not known:  # nothing to learn from: every score is the share of label 1
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, (0.0, float(np.log(y.mean() / (1 - y.mean())))), "constant")
     packed, length = array("i"), array("i")
     for w in known:
         g = grams(w)

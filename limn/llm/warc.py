@@ -12,11 +12,13 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
 
-from limn.llm.common import need, scratch_path, utf8
+from limn.llm.common import need, scratch_path, split_join, utf8, written
 
 #: Bytes of a block in one record, and of a body in one chunk.
 SEGMENT, CHUNK = 16_384, 4_096
@@ -87,9 +89,9 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + n + 4
 
 
-def _records_of(page: int | None, url: str | None, body: bytes, digest: str, refers: int | None, segment: int, chunk: int) -> Iterator[bytes]:
+def _records_of(page: int | None, url: str | None, body: bytes, size: int, digest: str, refers: int | None, segment: int, chunk: int) -> Iterator[bytes]:
     name = lambda p: f"urn:x-page:{'' if p is None else p}:{digest}"
-    about = [("WARC-Target-URI", url), ("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(body))]
+    about = [("WARC-Target-URI", url), ("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", size)]
     if refers is not None:
         yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name(page)}>"), ("WARC-Refers-To", f"<{name(refers)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *about], _HTTP)
         return
@@ -102,27 +104,72 @@ def _records_of(page: int | None, url: str | None, body: bytes, digest: str, ref
         yield record([*kind, *part, *last, *about], cut)
 
 
+#: Bits of the table that tells digests which certainly come once from others; as bytes, what is broadcast for it.
+BITS = 1 << 26
+
+
+def _repeats(equal: DataFrame) -> np.ndarray:
+    """A table of BITS bits, by a hash of the digest, of which those of `equal` (digest) are set. Its size is fixed."""
+    words = equal.select((_place("digest") / 64).cast("long").alias("w"), (_place("digest") % 64).cast("int").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("bits")).toPandas()  # BITS / 64 rows at most
+    table = np.zeros(BITS // 64, np.int64)
+    table[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return table
+
+
+def _place(digest: str) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(BITS))
+
+
+def _told(p: DataFrame, revisit_from: int) -> DataFrame:
+    """p (page_id, url, html, digest, n) with refers: the page that a revisit refers to, else null.
+
+    Only what may be a revisit is shuffled with its html: a table of bits, of fixed size, tells pages whose payload
+    certainly comes once. For the others it is decided by rows without html first, and these meet theirs by page and
+    digest, so that many copies of one page don't meet in one task.
+    """
+    spark = p.sparkSession
+    small = written(p.select("page_id", "digest", "n"), "warc-pages")
+    equal = small.filter(F.col("n") >= revisit_from).groupBy("digest", "n").agg(F.max("page_id").alias("top"), F.count("*").alias("k")).filter("k > 1 and top is not null")
+    equal = written(equal.groupBy("digest").agg(F.max("top").alias("top")), "warc-equal")
+    bits = spark.sparkContext.broadcast(_repeats(equal))  # BITS / 8 bytes
+
+    @pandas_udf("boolean")
+    def may_repeat(place: pd.Series) -> pd.Series:
+        at = place.to_numpy(np.int64)
+        return pd.Series((bits.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    once = ~((F.col("n") >= revisit_from) & may_repeat(_place("digest")))
+    some = written(small.filter(~once).distinct(), "warc-some")
+    decided = split_join(some, equal, "digest").withColumn("refers", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")))
+    d = decided.select(F.col("page_id").alias("own"), F.col("digest").alias("same"), "refers")
+    several = p.filter(~once).join(d, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("same")))
+    out = ["page_id", "url", F.when(F.col("refers").isNull(), F.col("html")).alias("html"), "n", "digest", "refers"]
+    return p.filter(once).withColumn("refers", F.lit(None).cast("long")).select(*out).unionByName(several.select(*out))
+
+
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = CHUNK, revisit_from: int = REVISIT_FROM, per_file: int = RECORDS) -> None:
     """Writes pages (page_id, url, html) as gzipped archives into the folder path, which Spark's writers must reach.
 
     Of equal payloads of at least revisit_from bytes, the one with the largest page_id is a response (each of them,
-    where it repeats), the others are revisits of it. Null html is an empty payload; a null page_id is the smallest.
+    where it repeats), the others are revisits of it; without any page_id all are responses. Null html is an empty
+    payload; a null page_id is the smallest.
     """
     p = need(pages, "page_id", "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("n", F.coalesce(F.octet_length("html"), F.lit(0)))
-    equal = p.filter(F.col("n") >= revisit_from).groupBy(F.col("digest").alias("same"), F.col("n").alias("same_n")).agg(F.max("page_id").alias("top"), F.count("*").alias("k")).filter("k > 1")
-    told = p.join(equal, (p.digest == equal.same) & (p.n == equal.same_n), "left").withColumn("refers", F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")))
 
     def run(batches):
         for b in batches:
-            out = []
-            for page, url, body, digest, refers in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), utf8(b, "html"), b.column("digest").to_pylist(), b.column("refers").to_pylist()):
-                out.extend(_records_of(page, url, body, digest, refers, segment, chunk))
-                if sum(map(len, out[-64:])) > 1 << 22:
+            out, held = [], 0
+            for page, url, body, n, digest, refers in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), utf8(b, "html"), b.column("n").to_pylist(), b.column("digest").to_pylist(), b.column("refers").to_pylist()):
+                for x in _records_of(page, url, body, n, digest, refers, segment, chunk):
+                    out.append(x)
+                    held += len(x)
+                if held > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out = []
+                    out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    made = told.select("page_id", "url", "html", "digest", "refers").mapInArrow(run, "record binary")
+    made = _told(p, revisit_from).mapInArrow(run, "record binary")
     # The text writer puts out bytes as they are, and closes each record as the format asks.
     made.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
@@ -137,28 +184,53 @@ def _unzipped(data: bytes) -> bytes:
     return b"".join(out) + data
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives in path: id, page_id, kind, refers, segment, origin, total, digest, block."""
+def _strip(x: str | None) -> str | None:
+    return x.strip("<>") if x else None
+
+
+def _row(fields: dict[str, str], block: bytes) -> tuple:
+    """A record as _FOUND has it."""
+    own, total = _strip(fields.get("warc-record-id")), fields.get("warc-segment-total-length")
+    page = (re.match(r"urn:x-page:(-?\d+):", own or "") or [None, None])[1]
+    digest = (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+    return own, page and int(page), fields.get("warc-type"), _strip(fields.get("warc-refers-to")), int(fields.get("warc-segment-number", 0)), _strip(fields.get("warc-segment-origin-id")), total and int(total), digest, block
 
-    def strip(x: str | None) -> str | None:
-        return x.strip("<>") if x else None
+
+def read_records(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
+    """A row for each record of the archives in path: id, page_id, kind, refers, segment, origin, total, digest, block.
+
+    verify: responses that aren't segmented are verified and decoded as they are read. Their digest is then that of their
+    payload, their total its size, and their block is null.
+    """
+
+    def seen(row: tuple) -> tuple:
+        own, page, kind, refers, segment, origin, _, digest, block = row
+        if not verify or kind != "response" or segment:
+            return row
+        body = payload(block)
+        return own, page, kind, refers, segment, origin, len(body), _verified(own, body, digest), None
 
     def run(batches):
+        names = [x.split()[0] for x in _FOUND.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
             for f in b.column("content"):
-                rows = []
-                for fields, block in records(_unzipped(f.as_buffer().to_pybytes())):
-                    own, origin = strip(fields.get("warc-record-id")), strip(fields.get("warc-segment-origin-id"))
-                    page = (re.match(r"urn:x-page:(-?\d+):", own or "") or [None, None])[1]
-                    rows.append((own, page and int(page), fields.get("warc-type"), strip(fields.get("warc-refers-to")), int(fields.get("warc-segment-number", 0)), origin, (t := fields.get("warc-segment-total-length")) and int(t), (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None, block))
+                rows = [seen(_row(*x)) for x in records(_unzipped(f.as_buffer().to_pybytes()))]
                 columns = list(zip(*rows)) or [()] * 9
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _FOUND.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, _FOUND)
 
 
+def _verified(own: str, body: bytes, digest: str | None) -> str:
+    """The digest of a payload. ValueError where its record states another."""
+    found = hashlib.sha1(body).hexdigest()
+    if digest and found != digest:
+        raise ValueError(f"{own}: the payload doesn't have its digest")
+    return found
+
+
 def reassembled(found: DataFrame, keep: bool = True) -> DataFrame:
     """(id, page_id, payload_bytes, payload_digest[, payload]) of each response; keep: with the payload.
 
@@ -169,9 +241,7 @@ def reassembled(found: DataFrame, keep: bool = True) -> DataFrame:
     kinds = "id string, page_id long, payload_bytes long, payload_digest string" + ", payload binary" * keep
 
     def told(own, page, body, digest):
-        if digest and hashlib.sha1(body).hexdigest() != digest:
-            raise ValueError(f"{own}: the payload doesn't have its digest")
-        return (own, page, len(body), hashlib.sha1(body).hexdigest(), *[body] * keep)
+        return (own, page, len(body), _verified(own, body, digest), *[body] * keep)
 
     names = [x.split()[0] for x in kinds.split(", ")]
     arrow = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
@@ -201,14 +271,18 @@ def reassembled(found: DataFrame, keep: bool = True) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) for each page of the archives in path.
 
-    A revisit has the size and digest of the response that it refers to.
+    A revisit has the size and digest of the response that it refers to; one whose response is absent raises an error.
+    Archives are parsed once: only segments go on with their bytes.
     """
-    found = read_records(spark, path)
-    responses = reassembled(found, keep=False)
-    once = responses.select(F.col("id").alias("target"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    revisits = found.filter(F.col("kind") == "revisit").select("page_id", "refers").join(once, F.col("refers") == F.col("target"))
+    found = written(read_records(spark, path, verify=True), "warc-records")
+    whole = found.filter((F.col("kind") == "response") & (F.col("segment") == 0)).select("id", "page_id", F.col("total").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    responses = written(whole.unionByName(reassembled(found.filter(F.col("segment") > 0), keep=False)), "warc-responses")
+    once = responses.select(F.col("id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    revisits = split_join(found.filter(F.col("kind") == "revisit").select("page_id", "refers"), once, "refers")
+    absent = F.raise_error(F.concat(F.lit("a revisit refers to an absent response: "), F.coalesce("refers", F.lit("none"))))
+    size = F.when(F.col("payload_bytes").isNull(), absent.cast("long")).otherwise(F.col("payload_bytes"))
     own = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return own.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
+    return own.unionByName(revisits.select("page_id", size.alias("payload_bytes"), "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -343,6 +343,18 @@ def test_mixing_meets_brute_force_targets(docs, odd):
         assert all(abs(targets[s] - goal[s]) < 1e-6 * max(goal[s], 1) and abs(taken[s] - goal[s]) <= 0.5 + 1e-6 for s in goal)
 
 
+def test_mixing_is_its_sql(spark):
+    import duckdb
+
+    from limn.llm.queries import ORACLE_SQL, op7_source_mixing
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(ORACLE_SQL["op7_source_mixing"]).df()
+    got = op7_source_mixing(spark, SF).toPandas()[list(want.columns)]
+    assert got.sort_values("doc_id").to_numpy().tolist() == want.sort_values("doc_id").to_numpy().tolist() or str(got.sort_values("doc_id").to_numpy().tolist()) == str(want.sort_values("doc_id").to_numpy().tolist())
+
+
 def test_mixing_limits_small_sources_and_reshares(spark):
     df = spark.createDataFrame([(1, "w " * 10, "a"), (2, "w " * 10, "b"), (3, "w " * 980, "c")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in mixing.mix_report(df).collect()}
@@ -455,6 +467,30 @@ def test_segments_must_be_whole(spark, tmp_path):
         warc.reassembled(found.filter("segment != 2")).collect()
 
 
+def test_a_revisit_needs_its_response(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([(1, "u", "z" * 2000), (2, "u", "z" * 2000), (3, "u", "short")], "page_id long, url string, html string"), path)
+    kept = warc.read_records(spark, path).filter("kind <> 'response' or page_id <> 2").collect()
+    alone = [warc.record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{r['id']}>"), ("WARC-Refers-To", f"<{r['refers']}>")], bytes(r["block"])) for r in kept if r["kind"] == "revisit"]
+    assert len(alone) == 1
+    (tmp_path / "broken").mkdir()
+    import gzip
+
+    (tmp_path / "broken" / "a.gz").write_bytes(gzip.compress(alone[0] + b"\r\n\r\n"))
+    with pytest.raises(Exception, match="absent response"):
+        warc.read_pages(spark, str(tmp_path / "broken")).collect()
+
+
+def test_pages_that_the_table_of_bits_takes_for_repeats(spark, monkeypatch):
+    """With few bits nearly all pages may repeat; the records are the same."""
+    rows = [(i, "u", f"{i % 40}" * 1200) for i in range(120)] + [(None, "u", "5" * 1200), (7, "u", "7" * 1200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = Counter(map(tuple, warc.round_trip(df).collect()))
+    monkeypatch.setattr(warc, "BITS", 64)
+    assert Counter(map(tuple, warc.round_trip(df).collect())) == want
+    assert sum(n for r, n in want.items() if r[3] == "revisit") == 122 - 40
+
+
 def test_chunked_framing():
     for body in (b"", b"a", b"x" * 9000, b"\r\n0\r\n\r\n"):
         assert warc.dechunked(warc.chunked(body, 7)) == body
@@ -548,6 +584,63 @@ def test_classifiers_on_held_out_rows(spark):
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
 
 
+def test_toxicity_query_is_brute_force(spark, docs):
+    """Each score from the model's numbers alone: n-grams, words, windows and curve, one by one."""
+    from limn.llm.queries import op5_toxicity
+
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def word(w):
+        w = "<".encode() + w.encode().strip(b".,;:!?\"'()[]{}%&#$*|") + b">"
+        buckets = [zlib.crc32(w) % (1 << 17)] + [zlib.crc32(w[i : i + n], n) % (1 << 17) for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+        return sum(float(model.numbers[b]) for b in buckets) / len(buckets)
+
+    def score(text):
+        s = [word(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())]
+        if len(s) < 8:
+            raw = (sum(s) + (8 - len(s)) * model.usual) / 8
+        else:
+            parts = [s[a : a + 8] for a in range(0, len(s) - 7, 8)]
+            parts[-1] = s[8 * (len(parts) - 1) :]
+            means = sorted((sum(p) / len(p) for p in parts), reverse=True)[:2]
+            raw = sum(means) / len(means)
+        a, b = model.curve
+        return 1 / (1 + np.exp(-np.clip(a * (model.bias + raw) + b, -35, 35)))
+
+    got, texts = op5_toxicity(spark, SF).collect(), dict(texts_of(docs))
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        want = score(texts[r["doc_id"]])
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_quality_query_is_brute_force(spark, docs):
+    """Each score by the sum over all pairs of features."""
+    from limn.llm.queries import op6_quality
+
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def score(text):
+        index, x = quality.Buckets().features(text.encode())
+        x = model.scaled(index, x)
+        products = (model.factors[index] @ model.factors[index].T) * np.outer(x, x)
+        raw = model.constant + model.weights[index] @ x + np.triu(products, 1).sum()
+        a, b = model.curve
+        return 1 / (1 + np.exp(-np.clip(a * raw + b, -35, 35)))
+
+    got, texts = op6_quality(spark, SF).collect(), dict(texts_of(docs))
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        assert abs(r["score"] - score(texts[r["doc_id"]])) < 1e-6 and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_features_of_quality_are_counted():
+    """Hashed words by the root of their count, in a vector of length 1."""
+    index, x = quality.Buckets().features(b"A b a\nc")
+    n = Counter(zlib.crc32(w) % quality.BUCKETS for w in (b"a", b"b", b"a", b"c"))
+    assert dict(zip(index[:3].tolist(), (x[:3] ** 2 * 4).round(6).tolist())) == {k: float(v) for k, v in n.items()}
+
+
 def test_classifiers_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for train, score, accepted in ((quality.train, quality.quality, quality.accepted), (toxicity.train, toxicity.toxicity, toxicity.accepted)):
@@ -559,6 +652,14 @@ def test_classifiers_on_odd_rows(spark, odd):
             assert score(odd.limit(0), model).count() == 0
 
 
+def test_classifiers_without_words():
+    for texts in (["", ""], [" \n", "\t"]):
+        model = toxicity.fit(texts, [0, 1])
+        assert 0 < toxicity.Scorer(model).score(b"") < 1 and toxicity.Scorer(model).score(b"some words") == toxicity.Scorer(model).score(b"")
+        index, x = quality.Buckets().features(b"")
+        assert 0 <= quality.fit(texts, [0, 1]).score(index, x) <= 1
+
+
 def test_misspellings_share_vectors():
     rng = random.Random(0)
     plain = ["the", "and", "thing", "reed", "onan", "stint", "lyed", "hean"]
