@@ -1,7 +1,7 @@
 """Commands: python -m limn COMMAND --input ... --output ...
 
 filter, round, sample and both work on a corpus; reorder and add-comments rewrite it by a model; classify, rate and infer
-ask a model about images; render compiles and draws; prune drops packages; evaluate scores predictions. A model is named
+ask a model about images; render compiles and draws, render-dir a folder of files; prune drops packages; evaluate scores predictions. A model is named
 as module:object of a provider; compile steps use the LaTeX engines that the machine has, or recorded results.
 """
 
@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from limn import providers, sources
-from limn.functions import rounding
+from limn.functions import rounding, text
 from limn.operators import annotation, sampling
 from limn.plans import pipelines
 from limn.sources import sinks
@@ -60,8 +61,12 @@ def run_both(spark, a):
 
 def run_rewrite(spark, a):
     instruction, source, output, thinking = (pipelines.REORDER, "code", "new_code", "thinking") if a.command == "reorder" else (pipelines.COMMENT, "new_code", "commented_code", "comment_thinking")
-    df = sources.parquet(spark, a.input, a.input_col or source)
-    sinks.parquet(pipelines.rewritten(df, named(a.model), instruction, a.input_col or source, a.output_col or output, a.thinking_col or thinking, a.keep_failed), a.output)
+    df, model = sources.parquet(spark, a.input, a.input_col or source), named(a.model)
+    given = {"concurrency": a.concurrency, "attempts": a.max_retries, "timeout": a.api_timeout}
+    for name, value in given.items():
+        if value is not None and hasattr(model, name):
+            setattr(model, name, value)
+    sinks.parquet(pipelines.rewritten(df, model, instruction, a.input_col or source, a.output_col or output, a.thinking_col or thinking, a.keep_failed), a.output)
 
 
 def run_annotate(spark, a):
@@ -75,6 +80,19 @@ def run_annotate(spark, a):
         sinks.counts_csv(annotation.label_histogram(sources.json_lines(spark, a.output, "index long, path string, raw string")), a.stats_csv)
 
 
+def run_render_dir(spark, a):
+    """A PNG for each source file below a folder, at its place below the other; 0 if all worked, 1 if some, 2 if none."""
+    files = sources.source_files(spark, a.input, recursive=True)
+    out = pipelines.rendered(files, providers.LatexCompiler(timeout=a.timeout, size=a.size, render=True), "source").select("path", F.col("render_image.bytes").alias("png")).persist()
+    try:
+        n, good = out.count(), out.filter("png is not null").count()
+        name = F.regexp_replace(text.output_path(F.col("path"), a.input, a.output), r"\.tex\z", ".png")
+        sinks.files(out, name, F.col("png"), sinks.local_file)
+    finally:
+        out.unpersist()
+    return 0 if good == n else 1 if good else 2
+
+
 def run_render(spark, a):
     out = pipelines.rendered(sources.parquet(spark, a.input, a.code_col), providers.LatexCompiler(timeout=a.timeout, size=a.size, render=True), a.code_col, a.image_col or "render_image")
     out = out.persist()
@@ -84,22 +102,28 @@ def run_render(spark, a):
     if a.success_json:
         sinks.success_index(sources.with_row_id(out), "orig_id", image, a.success_json)
     sinks.parquet(out.filter(F.col(image).isNotNull()) if a.drop_failed else out, a.output)
+    out.unpersist()
 
 
 def run_prune(spark, a):
     files = sources.source_files(spark, a.input, recursive=True, limit=a.max_files)
-    sinks.parquet(pipelines.removal_ratio(pipelines.pruned(files, providers.LatexCompiler(timeout=a.timeout), standalone=a.standalone)), a.output)
+    sinks.parquet(pipelines.removal_ratio(pipelines.pruned(files, providers.LatexCompiler(timeout=a.timeout), standalone=a.standalone, border=a.border)), a.output)
 
 
 def run_evaluate(spark, a):
     images = pipelines.evaluated(sources.image_pairs(spark, a.pred_dir, a.ref_dir))
-    sinks.metrics_csv(images, f"{a.output}/images")
-    pipelines.evaluation_summary(images, sources.predictions(spark, a.input)).write.mode("overwrite").json(f"{a.output}/summary")
+    images = images.drop(*(c for c in ("mse", "mse_nocanny", "ssim", "psnr") if getattr(a, f"no_{c}"))).persist()
+    try:
+        sinks.metrics_csv(images, f"{a.output}/images")
+        done = pipelines.evaluation_summary(images, sources.predictions(spark, a.input), bleu=not a.no_bleu, ted=not a.no_ted)
+        done.write.mode("overwrite").json(f"{a.output}/summary")
+    finally:
+        images.unpersist()
 
 
 COMMANDS = {
     "filter": run_filter, "round": run_round, "sample": run_sample, "both": run_both, "reorder": run_rewrite, "add-comments": run_rewrite,
-    "classify": run_annotate, "rate": run_annotate, "infer": run_annotate, "render": run_render, "prune": run_prune, "evaluate": run_evaluate,
+    "classify": run_annotate, "rate": run_annotate, "infer": run_annotate, "render": run_render, "render-dir": run_render_dir, "prune": run_prune, "evaluate": run_evaluate,
 }
 
 
@@ -117,22 +141,26 @@ def parser() -> argparse.ArgumentParser:
         if name in ("sample", "both"):
             add("--out-sample", required=True), add("--bin-strategy", choices=("random", "first"), default="random"), add("--seed", type=int, default=42), add("--samples-per-bin", type=int, default=10_000), add("--bins", default="")
         if name in ("reorder", "add-comments"):
-            add("--output", required=True), add("--model", required=True), add("--input-col"), add("--output-col"), add("--thinking-col"), add("--keep-failed", action="store_true")
+            add("--output", required=True), add("--model", required=True), add("--input-col"), add("--output-col"), add("--thinking-col"), add("--keep-failed", action="store_true"), add("--concurrency", type=int), add("--max-retries", type=int), add("--api-timeout", type=float)
         if name in ("classify", "rate", "infer"):
             add("--output", required=True), add("--model", required=True), add("--image-col"), add("--batch-size", type=int, default=8), add("--limit", type=int), add("--no-resume", action="store_true"), add("--stats-csv"), add("--prompt")
         if name == "render":
             add("--output", required=True), add("--size", type=int, default=384), add("--timeout", type=float, default=60), add("--code-col", default="code"), add("--image-col"), add("--failed-output"), add("--success-json"), add("--drop-failed", action="store_true")
+        if name == "render-dir":
+            add("--output", required=True), add("--size", type=int, default=384), add("--timeout", type=float, default=60)
         if name == "prune":
-            add("--output", required=True), add("--timeout", type=float, default=30), add("--max-files", type=int), add("--standalone", action="store_true")
+            add("--output", required=True), add("--timeout", type=float, default=30), add("--max-files", type=int), add("--standalone", action="store_true"), add("--border", default="2mm")
         if name == "evaluate":
             add("--output", required=True), add("--pred-dir", required=True), add("--ref-dir", required=True)
+            for c in ("mse", "mse_nocanny", "ssim", "psnr", "bleu", "ted"):
+                add(f"--no-{c.replace('_', '-')}", action="store_true")
     return top
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    COMMANDS[args.command](SparkSession.builder.appName("limn").getOrCreate(), args)
+    return COMMANDS[args.command](SparkSession.builder.appName("limn").getOrCreate(), args) or 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

@@ -11,10 +11,11 @@ import re
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
+from limn.operators.filters import COORDINATES, TABLE
+
 FIGURES = 4
-#: Option keys whose numbers are rounded, and keys whose numbers never are.
+#: Option keys whose numbers are rounded. All others stay.
 ROUNDED_KEYS = frozenset("pos out in xshift yshift shift rotate scale xscale yscale xmin xmax ymin ymax zmin zmax opacity".split())
-KEPT_KEYS = frozenset("name id node label classname class style prefix suffix compat version".split())
 
 #: Patterns of literals and of what stands around those that are rounded.
 _DIGITS = r"(?:\d+\.\d+|\d+|\.\d+)(?:[eE][-+]?\d+)?"
@@ -26,8 +27,8 @@ _OPTION = re.compile(rf"(?P<key>[A-Za-z@/_]+)\s*=\s*(?P<number>{_SIGNED})(?=$|[\
 #: Spans all of whose literals are rounded: the body is the group.
 _BODIES = (
     re.compile(r"\\definecolor\{[^}]+\}\{rgb\}\{([^}]*)\}"),
-    re.compile(r"(?is)(?:plot\s+)?coordinates\s*\{(.*?)\}"),
-    re.compile(r"(?is)(?:\\addplot.*?table(?:\[[^\]]*\])?|\\pgfplotstableread)\s*\{(.*?)\}"),
+    re.compile(COORDINATES),
+    re.compile(TABLE),
 )
 
 
@@ -63,9 +64,7 @@ def _body(m: re.Match) -> str:
 
 
 def _option(m: re.Match) -> str:
-    key = m["key"].lower()
-    rounded = key in ROUNDED_KEYS and key not in KEPT_KEYS and "name" not in key
-    return f"{m['key']}={round_literal(m['number'])}" if rounded else m[0]
+    return f"{m['key']}={round_literal(m['number'])}" if m["key"].lower() in ROUNDED_KEYS else m[0]
 
 
 def round_code(code: str | None) -> str | None:

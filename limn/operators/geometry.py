@@ -129,6 +129,42 @@ def elements_of_path(segments: list, closed: bool = False) -> list[Element]:
     return [line(*s) if len(s) == 2 else curve(s) for s in segments]
 
 
+def elements_of_items(items: list) -> list[Element]:
+    """Elements of one path from its drawing items (kind, points).
+
+    m begins anew at a point; l and c draw a line (two points) and a curve (four); re and qu are a rectangle (two corners)
+    and a quadrangle (four corners) at once; s and h close what has been drawn, by a line where its ends differ.
+    """
+    out, segments, start = [], [], None
+
+    def flush(closed: bool, open_only: bool = False):
+        nonlocal segments
+        if segments:
+            out.extend([line(*s) if len(s) == 2 else curve(s) for s in segments] if open_only else elements_of_path(segments, closed))
+        segments = []
+
+    for kind, points in items:
+        points = [tuple(map(float, p)) for p in points]
+        if kind == "m":
+            flush(False, open_only=True)
+            start = points[0]
+        elif kind in ("l", "c") and len(points) == (2 if kind == "l" else 4):
+            segments.append(points)
+            start = start if start is not None else points[0]
+        elif kind == "re" and len(points) == 2:
+            (x0, y0), (x1, y1) = points
+            out.append(rectangle(x0, y0, x1 - x0, y1 - y0))
+        elif kind == "qu" and len(points) == 4:
+            out.append(as_rectangle(points) or polygon(points))
+        elif kind in ("s", "h"):
+            if segments and start is not None and segments[-1][-1] != start:
+                segments.append([segments[-1][-1], start])
+            flush(True)
+            start = None
+    flush(False)
+    return out
+
+
 def join_circles(elements: list[Element]) -> list[Element]:
     """Curves whose ends lie near those of a seed curve, three or more of them, as a circle where they fit one."""
     ends = lambda e: (e.coordinates[:2], e.coordinates[-2:])
@@ -224,10 +260,14 @@ def geometry_match(candidate, reference):
     return geometry_result([element(e) for e in candidate or []], [element(e) for e in reference or []])
 
 
+#: A drawing's paths: segments as lists of points and whether they are closed, or else drawing items in their order.
+PATHS = "array<struct<segments: array<array<array<double>>>, closed: boolean, items: array<struct<kind: string, points: array<array<double>>>>>>"
+
+
 @udf(returnType=T.ArrayType(ELEMENT), useArrow=True)
 def path_elements(paths):
-    """Elements of a drawing's paths (array<struct<segments: array<array<array<double>>>, closed: boolean>>), de-duplicated."""
-    found = [e for p in paths or [] for e in elements_of_path([[tuple(q) for q in s] for s in p["segments"]], bool(p["closed"]))]
+    """Elements of a drawing's paths (array<struct<segments, closed, items>>: see PATHS), de-duplicated."""
+    found = [e for p in paths or [] for e in (elements_of_items([(i["kind"], i["points"]) for i in p["items"]]) if p["items"] else elements_of_path([[tuple(q) for q in s] for s in p["segments"] or []], bool(p["closed"])))]
     return [asdict(e) for e in without_duplicates(join_circles(found))]
 
 

@@ -173,6 +173,12 @@ def matched_boxes(predicted, reference):
     return match_boxes(predicted or [], reference or [])
 
 
+@udf(returnType=MATCHES, useArrow=True)
+def matched_boxes_geometric(predicted, reference):
+    """matched_boxes with the geometric stage."""
+    return match_boxes(predicted or [], reference or [], True)
+
+
 @udf(returnType=T.DoubleType(), useArrow=True)
 def text_layout_score(predicted, reference):
     return layout_score(predicted, reference)

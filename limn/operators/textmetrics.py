@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -80,29 +81,101 @@ def corpus_bleu(pairs: DataFrame, key: str, predicted: Column, reference: Column
     return one.select("*", penalty.alias("brevity_penalty"), bleu.alias("bleu"))
 
 
+def frequent_ngrams(df: DataFrame, tokens: Column, top: int = TRIVIAL, orders: int = ORDERS) -> list[tuple[int, str, int]]:
+    """(n, gram, k) of the `top` most frequent n-grams of all orders; ties by order, then by gram. What trivial_ngrams gives.
+
+    An n-gram comes no more often than its first and its last n - 1 tokens. So once there are `top` n-grams of lower
+    orders, one more matters only if both of these come more often than the last of them; there are fewer than `top` such,
+    and the others are left out before anything is shuffled.
+    """
+    words, spark = df.select(tokens.alias("_tokens")), df.sparkSession
+    best: list[tuple[int, str, int]] = []
+    for n in range(1, orders + 1):
+        floor = best[-1][2] if len(best) == top else 0
+        if n == 1:
+            grams = words.select(F.explode("_tokens").alias("gram"))
+        else:
+            left, m = F.col("_tokens"), F.greatest(F.size("_tokens") - (n - 1), F.lit(0))
+            parts = words.select(m.alias("_m"), "_tokens", _shorter(left, n - 1).alias("_g")).filter("_m > 0")
+            last = F.slice("_tokens", F.lit(n), F.col("_m"))
+            both = F.arrays_zip(F.slice("_g", F.lit(1), F.col("_m")).alias("a"), F.slice("_g", F.lit(2), F.col("_m")).alias("b"), last.alias("t"))
+            rows = parts.select(F.explode(both).alias("x")).select("x.a", "x.b", F.concat("x.a", F.lit(" "), "x.t").alias("gram"))
+            if floor:
+                able = spark.createDataFrame([(g,) for k, g, c in best if k == n - 1 and c > floor], "g string")
+                able = F.broadcast(able)  # fewer than `top` rows
+                rows = rows.join(able, F.col("a") == F.col("g"), "left_semi").join(able.withColumnRenamed("g", "h"), F.col("b") == F.col("h"), "left_semi")
+            grams = rows.select("gram")
+        counts = grams.groupBy("gram").agg(F.count("*").alias("k")).filter(F.col("k") > floor).orderBy(F.desc("k"), "gram").limit(top)
+        best = sorted([*best, *((n, r["gram"], r["k"]) for r in counts.collect())], key=lambda x: (-x[2], x[0], x[1]))[:top]
+        if floor and not any(k == n for k, _, _ in best):
+            break
+    return best
+
+
+def _shorter(tokens: Column, n: int) -> Column:
+    """All n-grams of n tokens, in order."""
+    grams = tokens
+    for k in range(2, n + 1):
+        m = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), m), F.slice(tokens, F.lit(k), m), lambda g, t: F.concat(g, F.lit(" "), t))
+    return grams
+
+
+#: Pairs that are stepped together, at most.
+_TOGETHER = 512
+
+
+def extended_edit_distances(pairs: list[tuple[str, str]]) -> list[float]:
+    """extended_edit_distance of pairs, many of like length at once."""
+    out, order = [0.0] * len(pairs), sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    for at in range(0, len(order), _TOGETHER):
+        own = sorted(order[at : at + _TOGETHER], key=lambda i: -len(pairs[i][1]))
+        for i, d in zip(own, _stepped([pairs[i] for i in own])):
+            out[i] = d
+    return out
+
+
+def _stepped(pairs: list[tuple[str, str]]) -> list[float]:
+    """Distances of pairs whose references become no longer from one to the next.
+
+    Tables have a column for each pair. A row's costs are summed from its first place on, one by one: ties between places
+    depend on how sums are rounded, so their order counts.
+    """
+    codes = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    sizes, lengths = np.array([len(p) for p, _ in pairs]), np.array([len(r) for _, r in pairs])
+    width = int(sizes.max()) + 1
+    p, r = np.zeros((width - 1, len(pairs)), np.uint32), np.zeros((int(lengths.max()), len(pairs)), np.uint32)
+    for k, (a, b) in enumerate(pairs):
+        p[: len(a), k], r[: len(b), k] = codes(a), codes(b)
+    outside = np.arange(width)[:, None] > sizes
+    row, visits = np.ones((width, len(pairs))), np.full((width, len(pairs)), -1)
+    row[0] = 0.0
+    for j in range(len(r)):
+        n = int(np.searchsorted(-lengths, -j, side="left"))  # pairs whose reference has this character
+        c, now = r[j, :n], row[:, :n]
+        step = np.empty((width, n))
+        step[0] = now[0] + 1.0
+        np.minimum(now[:-1] + (p[:, :n] != c), now[1:] + INSERTION, out=step[1:])
+        for i in range(1, width):
+            np.minimum(step[i], step[i - 1] + DELETION, out=step[i])
+        step[outside[:, :n]] = np.inf
+        best, own = step.argmin(axis=0), np.arange(n)
+        visits[best, own] += 1
+        np.minimum(step, np.where(c == 32, JUMP + step[best, own], np.inf), out=row[:, :n])
+    covered = COVERAGE * np.where(outside, 0, np.where(visits >= 0, visits, 1)).sum(axis=0).astype(float)
+    ends = row[sizes, np.arange(len(pairs))]
+    return [float(min(1.0, (e + c) / (n + c))) for e, c, n in zip(ends, covered, lengths)]
+
+
 def extended_edit_distance(predicted: str, reference: str) -> float:
     """Edit distance by characters with jumps at the reference's spaces, and a charge for places visited more than once, in [0, 1]."""
-    p = np.frombuffer(predicted.encode("utf-32-le"), np.uint32)
-    width = len(p) + 1
-    slide = np.arange(width) * DELETION
-    row, visits = np.ones(width), np.full(width, -1)
-    row[0] = 0.0
-    for c in reference:
-        step = np.empty(width)
-        step[0] = row[0] + 1.0
-        step[1:] = np.minimum(row[:-1] + (p != ord(c)), row[1:] + INSERTION)
-        step = np.minimum.accumulate(step - slide) + slide
-        best = int(step.argmin())
-        visits[best] += 1
-        row = np.minimum(step, JUMP + step[best]) if c == " " else step
-    covered = COVERAGE * float(np.where(visits >= 0, visits, 1).sum())
-    return float(min(1.0, (row[-1] + covered) / (len(reference) + covered)))
+    return extended_edit_distances([(predicted, reference)])[0]
 
 
 @pandas_udf(T.DoubleType())
 def tex_edit_distance(predicted, reference):
     """extended_edit_distance of the comparable text of each pair, in Arrow batches."""
-    return predicted.combine(reference, lambda p, r: extended_edit_distance(tex.distance_text(p), tex.distance_text(r)))
+    return pd.Series(extended_edit_distances([(tex.distance_text(p), tex.distance_text(r)) for p, r in zip(predicted, reference)]), dtype=float)
 
 
 def mean_edit_distance(pairs: DataFrame, predicted: str = "predicted", reference: str = "ground_truth") -> DataFrame:

@@ -165,11 +165,11 @@ def strip_and_collapse(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, md5(CASE WHEN strpos(text, chr(10)) > 0 THEN left(text, strpos(text, chr(10))) || '\pagestyle{empty}' || substr(text, strpos(text, chr(10))) ELSE text || chr(10) || '\pagestyle{empty}' END) AS styled,
-    md5('Go' || chr(10) || chr(10) || '```latex' || chr(10) || text || chr(10) || '```') AS prompt, translate(left(text, 40), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rot13 FROM documents""")
+    md5('Go' || chr(10) || chr(10) || '```latex' || chr(10) || text || chr(10) || '```') AS prompt, md5(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM')) AS rot13 FROM documents""")
 def page_style_and_prompt(spark, sf_dir):
     md5 = lambda c: F.md5(c.cast("binary"))
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", md5(text.inject_page_style(t, r"\pagestyle{empty}")).alias("styled"), md5(text.user_prompt(t, "Go")).alias("prompt"), text.rot13(F.substring(t, 1, 40)).alias("rot13"))
+    return table(spark, sf_dir, "documents").select("doc_id", md5(text.inject_page_style(t, r"\pagestyle{empty}")).alias("styled"), md5(text.user_prompt(t, "Go")).alias("prompt"), md5(text.rot13(t)).alias("rot13"))
 
 
 @query("SELECT doc_id, md5(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM')) AS rot13 FROM documents")
@@ -241,8 +241,7 @@ def _grams(source: str, tokens: str) -> str:
 @query(f"""WITH w AS (SELECT doc_id AS key, {_WORDS.format('text')} AS t FROM documents), g AS ({_grams('w', 't')})
     SELECT n, gram, count(*) AS k FROM g GROUP BY n, gram ORDER BY k DESC, n, gram LIMIT 500""")
 def ngram_topk(spark, sf_dir):
-    counts = textmetrics.ngram_counts(table(spark, sf_dir, "documents"), textmetrics.whitespace_words(F.col("text")))
-    return textmetrics.trivial_ngrams(counts).select("n", "gram", "k")
+    return spark.createDataFrame(textmetrics.frequent_ngrams(table(spark, sf_dir, "documents"), textmetrics.whitespace_words(F.col("text"))), "n int, gram string, k long")
 
 
 _TURNS = "c AS (SELECT a.conv_id * 1000 + a.turn AS key, b.text AS p, a.text AS r FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1)"
@@ -263,7 +262,7 @@ def crystal_bleu(spark, sf_dir):
 
 @query()
 def edit_distance(spark, sf_dir):
-    pairs = fixtures.turns(spark, sf_dir)
+    pairs = fixtures.spread(fixtures.turns(spark, sf_dir))
     return pairs.select("index", F.round(textmetrics.tex_edit_distance("predicted", "ground_truth"), 6).alias("distance"))
 
 
@@ -349,23 +348,6 @@ def reward_combine(spark, sf_dir):
     return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(pipelines.reward(parts), 6).alias("overall"))
 
 
-@query("""SELECT coalesce(a.f, b.f) AS filename, a.v AS ssim, b.v AS psnr FROM (SELECT 'f' || doc_id AS f, n_chars % 100 AS v FROM documents WHERE doc_id % 3 <> 0) a
-    FULL JOIN (SELECT 'f' || doc_id AS f, n_chars % 7 AS v FROM documents WHERE doc_id % 4 <> 0) b ON a.f = b.f""")
-def metric_merge(spark, sf_dir):
-    name = F.concat(F.lit("f"), F.col("doc_id")).alias("filename")
-    d = table(spark, sf_dir, "documents")
-    first = d.filter("doc_id % 3 <> 0").select(name, (F.col("n_chars") % 100).alias("ssim"))
-    return pipelines.merged_metrics([first, d.filter("doc_id % 4 <> 0").select(name, (F.col("n_chars") % 7).alias("psnr"))])
-
-
-@query("SELECT 'f' || doc_id AS filename, max(CASE WHEN doc_id % 3 <> 0 THEN n_chars % 100 END) AS ssim, max(CASE WHEN doc_id % 4 <> 0 THEN n_chars % 7 END) AS psnr FROM documents WHERE doc_id % 12 <> 0 GROUP BY 1")
-def metric_pivot(spark, sf_dir):
-    name = F.concat(F.lit("f"), F.col("doc_id")).alias("filename")
-    d = table(spark, sf_dir, "documents")
-    rows = d.filter("doc_id % 3 <> 0").select(name, F.lit("ssim").alias("metric"), (F.col("n_chars") % 100).alias("value")).unionByName(d.filter("doc_id % 4 <> 0").select(name, F.lit("psnr").alias("metric"), (F.col("n_chars") % 7).alias("value")))
-    return pipelines.long_metrics(rows, ["ssim", "psnr"])
-
-
 @query("""SELECT coalesce(a.f, b.f) AS filename, a.v AS ssim, b.v AS psnr FROM (SELECT 'f' || doc_id AS f, n_chars % 100 AS v FROM documents) a
     FULL JOIN (SELECT 'f' || doc_id AS f, quality AS v FROM labels) b ON a.f = b.f""")
 def metric_merge_all(spark, sf_dir):
@@ -407,7 +389,7 @@ def round_code(spark, sf_dir):
         array_to_string(list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: 'lib' || x), ',') AS libraries FROM w""")
 def preamble_extract(spark, sf_dir):
     found = F.udf(lambda c: [",".join(x) for x in preamble.packages_and_libraries(c)], "array<string>", useArrow=True)
-    return fixtures.preambles(spark, sf_dir).select("path", found("source").alias("f")).select("path", F.col("f")[0].alias("packages"), F.col("f")[1].alias("libraries"))
+    return fixtures.spread(fixtures.preambles(spark, sf_dir)).select("path", found("source").alias("f")).select("path", F.col("f")[0].alias("packages"), F.col("f")[1].alias("libraries"))
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part),
@@ -415,13 +397,13 @@ def preamble_extract(spark, sf_dir):
     r AS (SELECT p_partkey, len(n) AS a, len(list_filter(n, lambda x: regexp_matches(md5(x), '^[0-9]'))) AS k FROM p)
     SELECT 'p' || p_partkey || '.tex' AS path, 'success' AS status, true AS verified, CAST(k AS INTEGER) AS removed, round(k / a, 6) AS removal_ratio FROM r""")
 def pruning(spark, sf_dir):
-    done = pipelines.removal_ratio(pipelines.pruned(fixtures.preambles(spark, sf_dir), RuleCompiler(fixtures.compiles_if_needed_names_are_there)))
+    done = pipelines.removal_ratio(pipelines.pruned(fixtures.spread(fixtures.preambles(spark, sf_dir)), RuleCompiler(fixtures.compiles_if_needed_names_are_there)))
     return done.select(F.col("file").alias("path"), "status", F.col("compilation_success").alias("verified"), (F.size("removable_packages") + F.size("removable_libraries")).alias("removed"), F.round("removal_ratio", 6).alias("removal_ratio"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS successes FROM part")
 def pruning_summary(spark, sf_dir):
-    done = pipelines.pruned(fixtures.preambles(spark, sf_dir), RuleCompiler(fixtures.compiles_if_needed_names_are_there))
+    done = pipelines.pruned(fixtures.spread(fixtures.preambles(spark, sf_dir)), RuleCompiler(fixtures.compiles_if_needed_names_are_there))
     return pipelines.pruning_totals(done).select("files", "successes")
 
 
@@ -436,10 +418,10 @@ def image_metrics(spark, sf_dir):
         return imaging.encode_png(imaging.resize(x, 32, 32).round().astype(np.uint8))
 
     png = F.udf(draw, "binary", useArrow=True)
-    e = table(spark, sf_dir, "embeddings").select("vec_id", png("embedding").alias("pred"))
+    e = fixtures.spread(table(spark, sf_dir, "embeddings")).select("vec_id", png("embedding").alias("pred"))
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pred").alias("ref"))
     pairs = e.join(after, "vec_id").withColumn("filename", F.concat(F.lit("v"), F.col("vec_id"), F.lit(".png")))
-    return pipelines.evaluated(pairs).select("filename", *(F.round(c, 4).alias(c) for c in ("mse", "mse_nocanny", "ssim", "psnr")))
+    return pipelines.evaluated(fixtures.spread(pairs)).select("filename", *(F.round(c, 4).alias(c) for c in ("mse", "mse_nocanny", "ssim", "psnr")))
 
 
 @query(f"""WITH {_TURNS}, f AS (SELECT key, CASE key % 3 WHEN 0 THEN 'x' ELSE p END AS p, key % 3 <> 0 AS ok FROM c) SELECT key AS index, md5(p) AS new_code FROM f WHERE ok""")
@@ -456,3 +438,6 @@ class EchoModel:
     def generate(self, prompts):
         fenced = lambda p: p[p.index("```") :]
         return ["nothing" if fenced(p["prompt"]) == "```latex\nx\n```" else "Thought.\n" + fenced(p["prompt"]) for p in prompts]
+
+
+from limn.plans import round_trips  # noqa: E402, F401  registers its queries

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores before they go to Python: the tables here are small files, which one task would read.
+
+    Larger ones have more partitions than that from their files, so this is for fixtures only.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; a temporary one in local mode without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="limn-")
+    return f"{base.rstrip('/')}/limn-{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -63,21 +63,26 @@ def rendered(df: DataFrame, compiler: providers.Compiler, code: str = "code", im
     return out.filter(F.col(image).isNotNull()) if drop_failed else out
 
 
-def pruned(df: DataFrame, compiler: providers.Compiler, path: str = "path", code: str = "source", standalone: bool = False) -> DataFrame:
-    """The pruning of each file's preamble. Within a file each try builds on the one before; files are independent."""
+def pruned(df: DataFrame, compiler: providers.Compiler, path: str = "path", code: str = "source", standalone: bool = False, border: str = "2mm") -> DataFrame:
+    """The pruning of each file's preamble. Within a file each try builds on the one before; files are independent.
+
+    Equal code is compiled once in a task, as far as its results are kept.
+    """
 
     def run(batches):
         import pandas as pd
 
-        def compiles(c):
+        def once(c):
             try:
                 r = compiler.compile(c)
                 return bool(r["ok"]), r["error"]
             except Exception as e:  # a provider's fault is a failed compile
                 return False, f"{type(e).__name__}: {e}"
 
+        seen = providers.Recent(providers.KEPT_BYTES)
         for b in batches:
-            yield pd.DataFrame([preamble.prune(c or "", p, compiles, standalone).row() for p, c in zip(b["path"], b["code"])], columns=[f.split()[0] for f in preamble.PRUNED.split(", ")])
+            rows = [preamble.prune(c or "", p, lambda x: seen.get(x, once), standalone, border) for p, c in zip(b["path"], b["code"])]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in preamble.PRUNED.split(", ")])
 
     return df.select(F.col(path).alias("path"), F.col(code).alias("code")).mapInPandas(run, preamble.PRUNED)
 
@@ -150,11 +155,25 @@ def evaluated(pairs: DataFrame) -> DataFrame:
     return pairs.select("filename", imaging.image_metrics("pred", "ref").alias("m")).filter(F.col("m").isNotNull()).select("filename", "m.*")
 
 
-def evaluation_summary(images: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row: the means of the pixel metrics over scored pairs, corpus BLEU, mean edit distance and coverage."""
-    means = images.agg(*(F.avg(c).alias(c) for c in ("mse", "mse_nocanny", "ssim", "psnr")), F.count("*").alias("_n"))
+#: Scores of a pair of images that a model gives, by the factor of their mean.
+MODEL_SCORES = {"dsim": 100, "siglip": 100, "lpips": 1}
+
+
+def evaluation_summary(images: DataFrame, predictions: DataFrame, kid: DataFrame | None = None, bleu: bool = True, ted: bool = True) -> DataFrame:
+    """One row: the means of the metrics of scored pairs, corpus BLEU, mean edit distance and coverage.
+
+    images: the pixel metrics and, where a model gave them, columns of MODEL_SCORES; those that it hasn't are left out.
+    kid: the row of a kernel distance of features, whose mmd2 becomes `kid`. bleu, ted: whether texts are compared.
+    """
+    have = [c for c in ("mse", "mse_nocanny", "ssim", "psnr", *MODEL_SCORES) if c in images.columns]
+    parts = [images.agg(*((F.avg(c) * MODEL_SCORES.get(c, 1)).alias(c) for c in have), F.count("*").alias("_n"))]
     tokens = lambda c: textmetrics.tex_tokens(F.col(c))
-    bleu = textmetrics.corpus_bleu(predictions, "index", tokens("predicted"), tokens("ground_truth")).select("bleu")
-    n = predictions.agg(F.count("*").alias("_total"))
-    one = reduce(lambda a, b: a.join(F.broadcast(b)), [means, bleu, textmetrics.mean_edit_distance(predictions), n])  # one row each
+    if bleu:
+        parts.append(textmetrics.corpus_bleu(predictions, "index", tokens("predicted"), tokens("ground_truth")).select("bleu"))
+    if ted:
+        parts.append(textmetrics.mean_edit_distance(predictions))
+    if kid is not None:
+        parts.append(kid.select(F.col("mmd2").alias("kid")))
+    parts.append(predictions.agg(F.count("*").alias("_total")))
+    one = reduce(lambda a, b: a.join(F.broadcast(b)), parts)  # one row each
     return one.withColumn("coverage", coverage(F.col("_n"), F.col("_total"))).drop("_n", "_total")

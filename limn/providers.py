@@ -7,14 +7,15 @@ what it opens per worker. `Recorded` answers from a table, so that whatever is b
 from __future__ import annotations
 
 import asyncio
+import hashlib
 import os
 import signal
 import subprocess
 import tempfile
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from pathlib import Path
 from typing import Protocol
 
@@ -52,7 +53,7 @@ class Distances(Protocol):
 
 
 class Pdf(Protocol):
-    """The first page of a PDF: text lines as boxes, and drawing paths as lists of segments, with the page's size."""
+    """The first page of a PDF: text lines as boxes with the page's size, and drawing paths as segments or as drawing items."""
 
     def boxes(self, pdf: bytes) -> tuple[float, float, list[dict]]: ...
 
@@ -132,19 +133,47 @@ class RuleCompiler:
         return failed(error or "fails") if not ok else dict(zip(COMPILED_FIELDS, (True, 0, 0.0, None, "", None, None)))
 
 
+#: Bytes of results that a task keeps for code that comes again. No result depends on it.
+KEPT_BYTES = 64 << 20
+
+
+class Recent:
+    """The latest results by the digest of what they were made from, of so many bytes at most."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.results = most, 0, OrderedDict()
+
+    def get(self, code: str, make: Callable[[str], object]):
+        key = hashlib.blake2b(code.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key in self.results:
+            self.results.move_to_end(key)
+            return self.results[key]
+        found = make(code)
+        self.results[key] = found
+        self.held += self._size(found)
+        while self.held > self.most and len(self.results) > 1:
+            self.held -= self._size(self.results.popitem(last=False)[1])
+        return found
+
+    @staticmethod
+    def _size(found) -> int:
+        values = found.values() if isinstance(found, dict) else found if isinstance(found, tuple) else (found,)
+        return 200 + sum(len(v) for v in values if isinstance(v, (str, bytes)))
+
+
 def compiled(df: DataFrame, code: str, provider: Compiler, into: str = "compiled") -> DataFrame:
     """df with a struct of what compiling a column gives. Equal code is compiled once for each task; null code fails."""
     fields = "struct<" + COMPILED.replace(" ", ": ").replace(",: ", ", ") + ">"
 
     @pandas_udf(fields)
     def run(codes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        once = lru_cache(4096)(lambda c: provider.compile(c))
+        seen = Recent(KEPT_BYTES)
 
         def safe(c):
             if c is None:
                 return failed("no code")
             try:
-                return once(c)
+                return seen.get(c, provider.compile)
             except Exception as e:  # a provider's fault fails its row, not the job
                 return failed(f"{type(e).__name__}: {e}")
 
@@ -178,7 +207,8 @@ class ChatModel:
     """An OpenAI-style endpoint: `client()` gives an async client in the worker. Only API errors are tried again.
 
     At most `concurrency` requests of a task are under way. Between attempts it waits 2, 4, ... up to 10 seconds, and not
-    after the last.
+    after the last. A request that takes more than `timeout` seconds is one that failed. options go with each request:
+    sampling, or what switches a provider's own thinking off.
     """
 
     client: Callable[[], object]
@@ -187,6 +217,8 @@ class ChatModel:
     concurrency: int = 128
     attempts: int = 3
     retried: tuple[type[BaseException], ...] = (ConnectionError, TimeoutError)
+    timeout: float = 300
+    options: dict = field(default_factory=dict)
 
     def generate(self, prompts: list[dict]) -> list[str]:
         return asyncio.run(self._all(prompts))
@@ -198,7 +230,7 @@ class ChatModel:
             async with limit:
                 for attempt in range(1, self.attempts + 1):
                     try:
-                        return await client.reply(self.model, self.system, p["prompt"])
+                        return await asyncio.wait_for(client.reply(self.model, self.system, p["prompt"], **self.options), self.timeout)
                     except self.retried:
                         if attempt < self.attempts:
                             await asyncio.sleep(min(2 * attempt, 10))
@@ -248,12 +280,12 @@ def text_boxes(pdf: Column, provider: Pdf) -> Column:
 
 def drawing_elements(pdf: Column, provider: Pdf) -> Column:
     """Geometric elements of a PDF column's first page; none where it can't be read."""
-    from limn.operators.geometry import path_elements
+    from limn.operators.geometry import PATHS, path_elements
 
-    @udf(returnType="array<struct<segments: array<array<array<double>>>, closed: boolean>>", useArrow=True)
+    @udf(returnType=PATHS, useArrow=True)
     def read(data):
         try:
-            return provider.paths(bytes(data))
+            return [{"segments": p.get("segments"), "closed": p.get("closed"), "items": p.get("items")} for p in provider.paths(bytes(data))]
         except Exception:  # a page that can't be read has no elements
             return []
 

@@ -22,18 +22,30 @@ def parquet(spark: SparkSession, path: str, *required: str) -> DataFrame:
     return require_columns(spark.read.parquet(path), *required)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: through a checkpoint where spark.checkpoint.dir is set, which Spark's cleaner removes; else persisted."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()
+
+
 def with_row_id(df: DataFrame, name: str = "orig_id", order: list[str] | None = None) -> DataFrame:
     """df with ids from 0 on, unless it has them: by `order`, else in the order of its partitions.
 
-    With an order, rows are range-partitioned and numbered within partitions; partitions' sizes, of which there are as
-    many as partitions, give where each begins. No single task holds all rows.
+    Rows are numbered within partitions; partitions' sizes, of which there are as many as partitions, give where each
+    begins. No single task holds all rows, and they don't leave the JVM. With an order they are range-partitioned and kept
+    as dealt. Without one df is read twice: pass what reads in the same order again, as files do.
     """
     if name in df.columns:
         return df
     if order is None:
-        rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-        return df.sparkSession.createDataFrame(rows, df.schema.add(name, "long"))
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+        # An id of Spark's own is the partition's number above 33 bits of the row's place in it.
+        dealt = df.withColumn("_id", F.monotonically_increasing_id())
+        place, part = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("_id", 33)
+        sizes = dealt.groupBy(part.alias("_part")).count()
+        starts = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+        return dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + place).drop("_part", "_id", "_start")
+    dealt = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").count()
     starts = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -63,9 +75,12 @@ def image_pairs(spark: SparkSession, predicted: str, reference: str) -> DataFram
 PREDICTION = "index long, predicted string, ground_truth string"
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(index, predicted, ground_truth) of a JSON array of records. ValueError where it is empty or a record lacks a text."""
-    df = spark.read.schema(PREDICTION).json(path, multiLine=True)
+def predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(index, predicted, ground_truth) of a JSON array of records, or of a record a line, as `sinks.predictions_json` writes.
+
+    ValueError where it is empty or a record lacks a text.
+    """
+    df = spark.read.schema(PREDICTION).json(path, multiLine=not lines)
     counts = df.agg(F.count("*").alias("n"), F.count_if(F.col("predicted").isNull() | F.col("ground_truth").isNull()).alias("bad")).first()
     if not counts["n"] or counts["bad"]:
         raise ValueError(f"{path}: {counts['n']} records, {counts['bad']} without predicted or ground_truth")
@@ -93,8 +108,21 @@ def image_cells(df: DataFrame, column: str, limit: int | None = None, key: str |
     return cells.filter(F.col(column).isNotNull())
 
 
-def tokenizer_files(spark: SparkSession, path: str, load: Callable[[str], object]) -> Callable[[], object]:
-    """Ships a tokenizer file or folder to the executors; what it returns opens it there, once a worker."""
+#: Files of which a tokenizer's folder has one at least.
+TOKENIZER_FILES = ("tokenizer.json", "tokenizer_config.json", "vocab.json", "merges.txt", "tokenizer.model")
+
+
+def tokenizer_files(spark: SparkSession, path: str, load: Callable[[str], object], fetch: Callable[[str], None] | None = None, known: tuple[str, ...] = TOKENIZER_FILES) -> Callable[[], object]:
+    """Ships a tokenizer file or folder to the executors; what it returns opens it there, once a worker.
+
+    fetch(path) is called first to save a default tokenizer where path is a folder without any of the known files, or
+    nothing; without it that is a FileNotFoundError.
+    """
+    there = os.path.isfile(path) or any(os.path.exists(os.path.join(path, n)) for n in known)
+    if not there:
+        if fetch is None:
+            raise FileNotFoundError(f"{path} holds none of {known}")
+        fetch(path)
     spark.sparkContext.addFile(path, recursive=os.path.isdir(path))
     name, opened = os.path.basename(path.rstrip("/")), []
 
@@ -107,7 +135,7 @@ def tokenizer_files(spark: SparkSession, path: str, load: Callable[[str], object
 
 
 #: Environment settings, by the name of the setting that takes them.
-ENVIRONMENT = {"api_key": "OPENAI_API_KEY", "image_folder": "VLM_TMP_DIR"}
+ENVIRONMENT = {"api_key": "OPENAI_API_KEY", "image_folder": "VLM_TMP_DIR", "perceptual_environment": "DREAMSIM_ENV", "perceptual_cache": "DREAMSIM_CACHE_DIR"}
 
 
 def setting(spark: SparkSession, name: str, default: str | None = None, required: bool = False) -> str | None:

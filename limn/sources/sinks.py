@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -73,6 +74,14 @@ def files(df: DataFrame, path: Column, data: Column, write: Callable[[str, bytes
     df.select(path.alias("_path"), data.cast("binary").alias("_data")).foreachPartition(each)
 
 
+def local_file(path: str, data: bytes) -> None:
+    """Writes bytes under a path of the file system that executors share, and the folders above it."""
+    plain = path.removeprefix("file://")
+    os.makedirs(os.path.dirname(plain) or ".", exist_ok=True)
+    with open(plain, "wb") as f:
+        f.write(data)
+
+
 def failure_preview(df: DataFrame, key: str, n: int = 10) -> tuple[list, int]:
     """The n smallest failed keys, and how many more there are."""
     first = [r[0] for r in df.select(key).orderBy(key).limit(n).collect()]

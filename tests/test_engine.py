@@ -97,6 +97,8 @@ def test_row_ids_and_columns(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",)], "code string")
     assert sorted(map(tuple, sources.with_row_id(df, order=["code"]).collect())) == [("a", 0), ("b", 1), ("c", 2)]
     assert sorted(r["orig_id"] for r in sources.with_row_id(df).collect()) == [0, 1, 2]
+    many = spark.range(1000).repartition(7).select(F.col("id").alias("x"))
+    assert sorted(r["orig_id"] for r in sources.with_row_id(many).collect()) == list(range(1000))
     assert sources.with_row_id(df.withColumn("orig_id", F.lit(7))).first()["orig_id"] == 7
     with pytest.raises(ValueError, match="absent"):
         sources.require_columns(df, "code", "image")
@@ -306,6 +308,39 @@ def test_settings(spark, monkeypatch):
         sources.setting(spark, "api_key", required=True)
 
 
+def test_frequent_ngrams_are_all_counted(spark):
+    """Against counting everything, with few and with many n-grams above the limit, and ties."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", weights=range(1, 17), k=rng.randint(0, 60))) for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    words = textmetrics.whitespace_words(F.col("text"))
+    for top in (1, 5, 60, 100_000):
+        want = [tuple(r) for r in textmetrics.trivial_ngrams(textmetrics.ngram_counts(df, words), top).select("n", "gram", "k").collect()]
+        assert textmetrics.frequent_ngrams(df, words, top) == want
+    assert textmetrics.frequent_ngrams(df.limit(0), words) == []
+
+
+def test_tokenizer_folders(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        sources.tokenizer_files(spark, str(tmp_path / "none"), str)
+
+    def fetch(path):
+        (tmp_path / "t").mkdir()
+        (tmp_path / "t" / "tokenizer.json").write_text("{}")
+
+    assert sources.tokenizer_files(spark, str(tmp_path / "t"), str, fetch)().endswith("t")
+
+
+def test_evaluation_columns_of_models(spark):
+    images = spark.createDataFrame([("a", 1.0, 0.5, 0.25), ("b", 3.0, 0.7, None)], "filename string, psnr double, dsim double, lpips double")
+    texts = spark.createDataFrame([(0, "a b", "a b")], "index long, predicted string, ground_truth string")
+    kid = spark.createDataFrame([(0.125,)], "mmd2 double")
+    got = pipelines.evaluation_summary(images, texts, kid, bleu=False, ted=False).first().asDict()
+    assert got == {"psnr": 2.0, "dsim": 60.0, "lpips": 0.25, "kid": 0.125, "coverage": "2/1"}
+
+
 def test_compiler_without_engines():
     result = providers.LatexCompiler(engines=("no-such-engine",)).compile("x")
     assert result["ok"] is False and "no-such-engine" in result["error"]
@@ -315,6 +350,7 @@ def test_compiler_without_engines():
 def test_pushdown_and_plans(spark):
     from limn.plans.catalogue import QUERIES
 
+    spark.catalog.clearCache()  # what another test left there would be read instead
     plan = QUERIES["stratified_first"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "lang" not in plan.split("ReadSchema")[1].split(">")[0]
 

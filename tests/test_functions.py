@@ -88,10 +88,10 @@ def needs(*names):
 
 def test_prune():
     r = preamble.prune(SOURCE, "f", needs("y", "l2"))
-    assert (r.status, r.removable_packages, r.removable_libraries, r.compilation_success) == ("success", ["x"], ["l1"], True)
-    assert preamble.packages_and_libraries(r.optimized_content) == (["y"], ["l2"])
+    assert (r["status"], r["removable_packages"], r["removable_libraries"], r["compilation_success"]) == ("success", ["x"], ["l1"], True)
+    assert preamble.packages_and_libraries(r["optimized_content"]) == (["y"], ["l2"])
     bad = preamble.prune("x", "f", needs("y"))
-    assert bad.status == "error" and bad.optimized_content == "x" and bad.compilation_success is None
+    assert bad["status"] == "error" and bad["optimized_content"] == "x" and bad["compilation_success"] is None
 
 
 def test_standalone_migrates_options_and_implied_packages():
@@ -246,3 +246,48 @@ def test_edit_distance():
 
 def test_bins():
     assert parse_bins("0-200, 200-400") == ((0, 200), (200, 400)) and parse_bins("") == parse_bins(None) == BINS
+
+
+def brute_edit_distance(p, r):
+    row, visits = [0.0] + [1.0] * len(p), [-1] * (len(p) + 1)
+    for c in r:
+        step = [row[0] + 1.0]
+        for i in range(1, len(row)):
+            step.append(min(step[i - 1] + 0.2, row[i - 1] + (p[i - 1] != c), row[i] + 1.0))
+        best = step.index(min(step))
+        visits[best] += 1
+        row = [min(x, 2.0 + step[best]) for x in step] if c == " " else step
+    covered = 0.3 * sum(v if v >= 0 else 1 for v in visits)
+    return min(1.0, (row[-1] + covered) / (len(r) + covered))
+
+
+def test_edit_distances_of_many_pairs():
+    import random
+
+    from limn.operators.textmetrics import extended_edit_distances
+
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choices("ab c  d\u00e9", k=rng.choice([0, 1, 5, 40, 90])))
+    pairs = [(text(), text()) for _ in range(700)]
+    assert np.allclose(extended_edit_distances(pairs), [brute_edit_distance(*x) for x in pairs], rtol=0, atol=1e-12)
+    assert extended_edit_distances([]) == []
+
+
+def test_drawing_items():
+    kinds = lambda items: [e.type for e in geometry.elements_of_items(items)]
+    square = [("l", [(0, 0), (9, 0)]), ("l", [(9, 0), (9, 9)]), ("l", [(9, 9), (0, 9)])]
+    assert kinds([("re", [(1, 2), (5, 9)])]) == ["rectangle"] and geometry.elements_of_items([("re", [(1, 2), (5, 9)])])[0].coordinates == [1, 2, 4, 7]
+    assert kinds([("qu", [(0, 0), (9, 0), (9, 9), (0, 9)])]) == ["rectangle"] and kinds([("qu", [(0, 0), (9, 0), (5, 9), (0, 3)])]) == ["polygon"]
+    assert kinds([("m", [(0, 0)]), *square, ("h", [])]) == ["rectangle"] and kinds([*square, ("s", [])]) == ["rectangle"]
+    assert kinds([*square[:2], ("m", [(50, 50)]), ("l", [(50, 50), (60, 50)])]) == ["line", "line", "line"]
+    assert kinds([("c", [(0, 0), (1, 5), (5, 1), (9, 9)]), ("zz", [])]) == ["curve"] and kinds([("h", [])]) == []
+
+
+def test_recent_results_are_bounded():
+    from limn.providers import Recent
+
+    made = []
+    seen = Recent(2_000)
+    for code in ("a", "b", "a", "c" * 3, "a"):
+        seen.get(code, lambda c: made.append(c) or {"png": bytes(700)})
+    assert made == ["a", "b", "ccc"] and seen.held <= 2_000 and len(seen.results) == 2
