@@ -121,15 +121,16 @@ def _shorter(tokens: Column, n: int) -> Column:
     return grams
 
 
-#: Pairs that are stepped together, at most.
-_TOGETHER = 512
+#: Places of all pairs that are stepped together, about: they fit a core's cache.
+_CELLS = 1 << 12
 
 
 def extended_edit_distances(pairs: list[tuple[str, str]]) -> list[float]:
     """extended_edit_distance of pairs, many of like length at once."""
-    out, order = [0.0] * len(pairs), sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
-    for at in range(0, len(order), _TOGETHER):
-        own = sorted(order[at : at + _TOGETHER], key=lambda i: -len(pairs[i][1]))
+    out, order = [0.0] * len(pairs), sorted(range(len(pairs)), key=lambda i: -len(pairs[i][0]))
+    while order:
+        together = max(1, _CELLS // (len(pairs[order[0]][0]) + 1))
+        own, order = sorted(order[:together], key=lambda i: -len(pairs[i][1])), order[together:]
         for i, d in zip(own, _stepped([pairs[i] for i in own])):
             out[i] = d
     return out
@@ -138,8 +139,8 @@ def extended_edit_distances(pairs: list[tuple[str, str]]) -> list[float]:
 def _stepped(pairs: list[tuple[str, str]]) -> list[float]:
     """Distances of pairs whose references become no longer from one to the next.
 
-    Tables have a column for each pair. A row's costs are summed from its first place on, one by one: ties between places
-    depend on how sums are rounded, so their order counts.
+    Tables have a column for each pair. Deletions go from place to place, each adding to the one before, until no place
+    gains: just what a pass from the first place on gives, also in how sums are rounded, on which ties depend.
     """
     codes = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
     sizes, lengths = np.array([len(p) for p, _ in pairs]), np.array([len(r) for _, r in pairs])
@@ -156,8 +157,12 @@ def _stepped(pairs: list[tuple[str, str]]) -> list[float]:
         step = np.empty((width, n))
         step[0] = now[0] + 1.0
         np.minimum(now[:-1] + (p[:, :n] != c), now[1:] + INSERTION, out=step[1:])
-        for i in range(1, width):
-            np.minimum(step[i], step[i - 1] + DELETION, out=step[i])
+        gain = np.empty((width - 1, n))
+        while True:
+            for _ in range(4):
+                np.minimum(step[1:], np.add(step[:-1], DELETION, out=gain), out=step[1:])
+            if not (np.add(step[:-1], DELETION, out=gain) < step[1:]).any():
+                break
         step[outside[:, :n]] = np.inf
         best, own = step.argmin(axis=0), np.arange(n)
         visits[best, own] += 1

@@ -241,7 +241,7 @@ def _grams(source: str, tokens: str) -> str:
 @query(f"""WITH w AS (SELECT doc_id AS key, {_WORDS.format('text')} AS t FROM documents), g AS ({_grams('w', 't')})
     SELECT n, gram, count(*) AS k FROM g GROUP BY n, gram ORDER BY k DESC, n, gram LIMIT 500""")
 def ngram_topk(spark, sf_dir):
-    return spark.createDataFrame(textmetrics.frequent_ngrams(table(spark, sf_dir, "documents"), textmetrics.whitespace_words(F.col("text"))), "n int, gram string, k long")
+    return spark.createDataFrame(textmetrics.frequent_ngrams(fixtures.spread(table(spark, sf_dir, "documents").select("text")), textmetrics.whitespace_words(F.col("text"))), "n int, gram string, k long")
 
 
 _TURNS = "c AS (SELECT a.conv_id * 1000 + a.turn AS key, b.text AS p, a.text AS r FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1)"
@@ -310,14 +310,14 @@ def box_normalisation(spark, sf_dir):
 
 @query()
 def text_layout_match(spark, sf_dir):
-    b = fixtures.order_boxes(spark, sf_dir)
+    b = fixtures.spread(fixtures.order_boxes(spark, sf_dir))
     return b.select("l_orderkey", F.round(layout.text_layout_score("predicted", "reference"), 6).alias("score"), F.size(layout.matched_boxes("predicted", "reference")).alias("matches"))
 
 
 def _elements(spark, sf_dir) -> DataFrame:
     """(l_orderkey, predicted, reference): lines and rectangles made from an order's boxes."""
     make = lambda boxes, shift: F.transform(boxes, lambda b, i: F.when(i % 2 == 0, geometry.line_element(b["x0"], b["y0"], b["x1"] + shift, b["y1"])).otherwise(geometry.rectangle_element(b["x0"], b["y0"], b["x1"] - b["x0"], b["y1"] - b["y0"])))
-    return fixtures.order_boxes(spark, sf_dir).select("l_orderkey", make(F.col("predicted"), 0.0).alias("predicted"), make(F.col("reference"), 2.0).alias("reference"))
+    return fixtures.spread(fixtures.order_boxes(spark, sf_dir)).select("l_orderkey", make(F.col("predicted"), 0.0).alias("predicted"), make(F.col("reference"), 2.0).alias("reference"))
 
 
 @query()

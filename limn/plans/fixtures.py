@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores before they go to Python: the tables here are small files, which one task would read.
-
-    Larger ones have more partitions than that from their files, so this is for fixtures only.
-    """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+    """Rows dealt to all cores where they come from fewer files than there are cores: a small table is one group of rows,
+    which one task reads, however it is split. Tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def scratch(spark: SparkSession, name: str) -> str:
