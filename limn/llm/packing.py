@@ -185,7 +185,9 @@ def packed(items: DataFrame, capacity: int = CAPACITY, dealt: int = DEALT, round
     """items (length from 1 to capacity, other columns) with sequence_id and offset, in as few sequences as found.
 
     Reruns over the same rows in other partitions may deal otherwise, and pack as well. Of each round only unsettled bins
-    go on, and it counts only if it saves bins. An empty table gives an empty result.
+    go on, and it counts only if it saves bins. There are `rounds` rounds at most, and a partition gives up GIVEN bins for
+    each bin of gap: both bound the search for savings, every item is packed whatever they are. An empty table gives an
+    empty result.
     """
     items = written(items.withColumn("item", F.monotonically_increasing_id()), "packing-items")
     now, done = _round(items, 0, capacity, dealt), []

@@ -146,7 +146,11 @@ def quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs (text, other columns) that score at least the threshold, as they are."""
+    """The rows of docs (text, other columns) that score at least the threshold, as they are.
+
+    Null and empty texts are scored as by `quality`. Null ids, repeated rows and any other columns stay as they are; an empty
+    table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
