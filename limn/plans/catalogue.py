@@ -383,6 +383,34 @@ def round_code(spark, sf_dir):
     return fixtures.axis_code(spark, sf_dir).select("orig_id", F.md5(rounding.rounded(code).cast("binary")).alias("rounded"))
 
 
+#: Spans whose literals are rounded, marked @A and @B, and others whose literals stay, marked @a and @b.
+_SPANS = r"""\definecolor{c}{rgb}{@A, @B}
+\begin{axis}
+\addplot coordinates {(@A,-@B) (@B,@A)};
+\addplot table {x y
+@A @B
+};
+\end{axis}
+\node at (@A, @B) {@a};
+\draw (@A,@B,@A) (@a,@b,@a,@b) node (@a) [scale=@A, name=@a, xshift=-@B, width=@b];"""
+_LINE_NUMBERS = {"a": "10000 + (l_orderkey * 7919 + l_linenumber * 4729 + l_partkey * 31) % 90000", "b": "100000 + (l_suppkey * 6151 + l_orderkey * 409 + l_linenumber * 77) % 900000"}
+
+
+@query(f"""WITH n AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS INT) AS q, {_LINE_NUMBERS["a"]} AS x, {_LINE_NUMBERS["b"]} AS y FROM lineitem),
+    m AS (SELECT *, CASE WHEN x % 10 = 5 THEN x + 1 ELSE x END AS a, CASE WHEN y % 100 = 50 THEN y + 1 ELSE y END AS b FROM n),
+    r AS (SELECT *, (a + 5) // 10 * 10 AS a1, (b + 50) // 100 * 100 AS b1 FROM m)
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, q, md5(replace(replace(replace(replace('{_SPANS}',
+        {", ".join(f"'@{mark}', {v} // 10000 || '.' || lpad(CAST({v} % 10000 AS VARCHAR), 4, '0'))" for mark, v in (("A", "a1"), ("B", "b1"), ("a", "a"), ("b", "b")))}) AS rounded FROM r""")
+def round_spans(spark, sf_dir):
+    """Colours, coordinates, tables, tuples and options, each with numbers of five and of six figures; none is a tie."""
+    a, b = (F.expr(_LINE_NUMBERS[k]) for k in "ab")
+    a, b = F.when(a % 10 == 5, a + 1).otherwise(a), F.when(b % 100 == 50, b + 1).otherwise(b)
+    literal = lambda n: F.concat(F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
+    code = F.lit(_SPANS)
+    for mark, n in (("@A", a), ("@B", b), ("@a", a), ("@b", b)):
+        code = F.replace(code, F.lit(mark), literal(n))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.md5(rounding.rounded(code).cast("binary")).alias("rounded"))
+
 
 @query("""WITH w AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part)
     SELECT 'p' || p_partkey || '.tex' AS path, array_to_string(list_concat(list_filter(w, lambda x, i: list_position(w, x) = i), list_filter(['tikz', 'amsmath'], lambda x: NOT list_contains(w, x))), ',') AS packages,
@@ -392,19 +420,44 @@ def preamble_extract(spark, sf_dir):
     return fixtures.spread(fixtures.preambles(spark, sf_dir)).select("path", found("source").alias("f")).select("path", F.col("f")[0].alias("packages"), F.col("f")[1].alias("libraries"))
 
 
-@query("""WITH w AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part),
+_REMOVED = """WITH w AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part),
     p AS (SELECT p_partkey, list_concat(list_concat(list_filter(w, lambda x, i: list_position(w, x) = i), list_filter(['tikz', 'amsmath'], lambda x: NOT list_contains(w, x))), list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: 'lib' || x)) AS n FROM w),
-    r AS (SELECT p_partkey, len(n) AS a, len(list_filter(n, lambda x: regexp_matches(md5(x), '^[0-9]'))) AS k FROM p)
+    r AS (SELECT p_partkey, len(n) AS a, len(list_filter(n, lambda x: regexp_matches(md5(x), '^[0-9]'))) AS k FROM p)"""
+
+
+@query(_REMOVED + """
     SELECT 'p' || p_partkey || '.tex' AS path, 'success' AS status, true AS verified, CAST(k AS INTEGER) AS removed, round(k / a, 6) AS removal_ratio FROM r""")
 def pruning(spark, sf_dir):
     done = pipelines.removal_ratio(pipelines.pruned(fixtures.spread(fixtures.preambles(spark, sf_dir)), RuleCompiler(fixtures.compiles_if_needed_names_are_there)))
     return done.select(F.col("file").alias("path"), "status", F.col("compilation_success").alias("verified"), (F.size("removable_packages") + F.size("removable_libraries")).alias("removed"), F.round("removal_ratio", 6).alias("removal_ratio"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS successes FROM part")
+@query(_REMOVED + """ SELECT count(*) AS files, count(*) AS successes, round(avg(k / a), 6) AS mean_removal FROM r""")
 def pruning_summary(spark, sf_dir):
     done = pipelines.pruned(fixtures.spread(fixtures.preambles(spark, sf_dir)), RuleCompiler(fixtures.compiles_if_needed_names_are_there))
-    return pipelines.pruning_totals(done).select("files", "successes")
+    return pipelines.pruning_totals(done).select("files", "successes", F.round("mean_removal", 6).alias("mean_removal"))
+
+
+_CLASS = r"""p AS (SELECT p_partkey AS k, 'o' || p_partkey % 11 AS a, 'o' || (11 + p_partkey % 7) AS b, 'pk' || p_size AS c, CASE p_partkey % 5 WHEN 0 THEN 'amssymb' ELSE 'br' || p_partkey % 17 END AS d FROM part)"""
+
+
+@query(rf"""WITH {_CLASS}, n AS (SELECT *, list_filter([CASE WHEN k % 4 IN (1, 3) THEN a END, CASE WHEN k % 4 IN (2, 3) THEN b END], lambda x: x IS NOT NULL) AS needed,
+    CASE WHEN k % 3 > 0 THEN [] WHEN k % 5 = 0 THEN ['amsmath'] ELSE ['amsmath', 'amssymb'] END AS implied FROM p)
+    SELECT k AS p_partkey, '\documentclass[border=2mm]{{standalone}}' || chr(10) || array_to_string(list_transform(list_concat(needed, implied), lambda x: '\usepackage{{' || x || '}}' || chr(10)), '')
+        || '% needs ' || array_to_string(needed, ' ') || chr(10) || '\usepackage{{tikz,' || c || '}}' || chr(10) || '\usepackage{{' || d || '}} % again' || chr(10) || '\usetikzlibrary{{x,y}}' || chr(10) || 'x' AS code FROM n""")
+def preamble_standalone(spark, sf_dir):
+    """Class options that a recorded compile needs become packages, a class's own packages are named, duplicates go."""
+
+    def convert(code):
+        needed = code.split("% needs ")[1].split("\n")[0].split()
+        compiles = lambda c: (set(needed) <= set((preamble.document_class(c) or ([], ""))[0]), None)
+        return preamble.without_duplicates(preamble.to_standalone(code, compiles))
+
+    k, (a, b, c, d) = F.col("p_partkey"), (F.expr(x) for x in ("concat('o', p_partkey % 11)", "concat('o', 11 + p_partkey % 7)", "concat('pk', p_size)", "if(p_partkey % 5 = 0, 'amssymb', concat('br', p_partkey % 17))"))
+    needed = F.concat_ws(" ", F.when(k % 4 % 2 == 1, a), F.when(k % 4 >= 2, b))
+    lines = ("\\documentclass[%s, %s]{%s}", "%% needs %s", "\\usepackage{tikz,%s}", "\\usepackage{tikz}%% emptied", "\\usepackage{%s, %s, tikz} %% again", "\\usetikzlibrary{x,y,x}", "x")
+    source = F.format_string("\n".join(lines), a, b, F.when(k % 3 == 0, "amsart").otherwise("article"), needed, c, c, d)
+    return fixtures.spread(table(spark, sf_dir, "part")).select("p_partkey", F.udf(convert, "string", useArrow=True)(source).alias("code"))
 
 
 @query()
