@@ -79,6 +79,33 @@ def log_scan(spark, sf_dir):
     return fixtures.logs(spark, sf_dir).select("event_id", F.array_join(filters.log_findings(F.col("log")), ",").alias("findings"), filters.clean_log(F.col("log")).alias("clean"))
 
 
+#: For each family of findings: a line that belongs to it, with %s for one of its phrases, the phrases, and a line like it that doesn't.
+_LINES = {
+    "pgfplots_warning": ("Package pgfplots Warning: it is %s.", ("out of range", "Out Of Bounds", "clipped", "dropped", "discarded"), "Package pgfplots Warning: running in old mode"),
+    "tikz_warning": ("package tikz warning: %s", ("outside", "dimension too large", "overflow", "OUT of range", "discarded"), "Package tikz Warning: library loaded twice"),
+    "overfull": ("%s in paragraph", ("Overfull hbox", "overfull vbox"), "Underfull hbox in paragraph"),
+    "latex_error": ("! LaTeX Error: %s", ("missing file", "bad option"), "! latex error: in lower case"),
+    "package_error": ("! Package %s Error: stop", ("xcolor", "pgfkeys", "tikz"), "Package xcolor Error: without its mark"),
+    "undefined": ("! Undefined %s", ("control sequence",), "! Undefined colour"),
+    "missing": ("! Missing %s", ("$ inserted", "number"), "! Missing: nothing"),
+    "emergency": ("! Emergency %s", ("stop.",), "! Emergency stop"),
+}
+
+
+@query("SELECT event_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN (event_id >> {i}) & 1 = 1 THEN '{name}' END" for i, name in enumerate(_LINES)) + """], lambda x: x IS NOT NULL), ',') AS findings,
+    event_id & 255 = 0 AS clean FROM events""")
+def log_families(spark, sf_dir):
+    """Logs of eight lines, each of its family or only like it, in all 256 combinations and with each family's phrases in turn."""
+    turn = F.floor(F.col("event_id") / 256)
+    lines = []
+    for i, (line, phrases, other) in enumerate(_LINES.values()):
+        hits = F.array(*(F.lit(line % x) for x in phrases))
+        hit = F.element_at(hits, (turn % len(phrases) + 1).cast("int"))
+        lines.append(F.when(F.shiftright("event_id", i).bitwiseAND(1) == 1, hit).otherwise(other))
+    logs = table(spark, sf_dir, "events").select("event_id", F.concat_ws("\n", *lines).alias("log"))
+    return logs.select("event_id", F.array_join(filters.log_findings(F.col("log")), ",").alias("findings"), filters.clean_log(F.col("log")).alias("clean"))
+
+
 @query(f"SELECT doc_id, CASE WHEN {_BLACK.format('text')} THEN 'dump' ELSE 'keep' END AS status FROM documents")
 def keep_dump_split(spark, sf_dir):
     tagged = filters.tagged(_docs(spark, sf_dir))
