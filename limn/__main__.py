@@ -27,6 +27,26 @@ def named(spec: str):
     return found() if isinstance(found, type) else found
 
 
+def _model(a: argparse.Namespace, **options):
+    """The provider that --model names, with the flags that it has attributes for; a required one that is absent stops it."""
+    model = named(a.model)
+    wanted = {"concurrency": a.concurrency, "attempts": a.max_retries, "timeout": a.api_timeout, "model": a.model_id}
+    sampling_options = {"temperature": a.temperature, "top_p": a.top_p, "max_tokens": a.max_tokens}
+    merged = {
+        "options": {**options, **{k: v for k, v in sampling_options.items() if v is not None}},
+        "connection": {k: v for k, v in (("base_url", a.base_url), ("api_key", a.api_key)) if v is not None},
+    }
+    for name, value in wanted.items():
+        if value is not None and hasattr(model, name):
+            setattr(model, name, value)
+    for name, value in merged.items():
+        if value and hasattr(model, name):
+            setattr(model, name, {**getattr(model, name), **value})
+    if hasattr(model, "check"):
+        model.check()
+    return model
+
+
 def _corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return sources.with_row_id(sources.parquet(spark, a.input, "code"))
 
@@ -61,11 +81,8 @@ def run_both(spark, a):
 
 def run_rewrite(spark, a):
     instruction, source, output, thinking = (pipelines.REORDER, "code", "new_code", "thinking") if a.command == "reorder" else (pipelines.COMMENT, "new_code", "commented_code", "comment_thinking")
-    df, model = sources.parquet(spark, a.input, a.input_col or source), named(a.model)
-    given = {"concurrency": a.concurrency, "attempts": a.max_retries, "timeout": a.api_timeout}
-    for name, value in given.items():
-        if value is not None and hasattr(model, name):
-            setattr(model, name, value)
+    df = sources.parquet(spark, a.input, a.input_col or source)
+    model = _model(a, **(pipelines.COMMENT_OPTIONS if a.command == "add-comments" else {}))
     sinks.parquet(pipelines.rewritten(df, model, instruction, a.input_col or source, a.output_col or output, a.thinking_col or thinking, a.keep_failed), a.output)
 
 
@@ -74,16 +91,20 @@ def run_annotate(spark, a):
     df = sources.with_row_id(spark.read.parquet(a.input), "index")
     image = annotation.image_column(df, a.image_col)
     cells = sources.image_cells(df, image, a.limit, "index").withColumn("path", F.col(f"{image}.path")).withColumn("_bytes", F.col(f"{image}.bytes"))
-    out = annotation.annotate(cells, "index", named(a.model), prompts[a.command] or "", "_bytes", F.lit(True), a.batch_size)
+    out = annotation.annotate(cells, "index", _model(a), prompts[a.command] or "", "_bytes", F.lit(True), a.batch_size)
     sinks.append_json(out, a.output, resume=not a.no_resume)
     if a.stats_csv:
         sinks.counts_csv(annotation.label_histogram(sources.json_lines(spark, a.output, "index long, path string, raw string")), a.stats_csv)
 
 
+def _drawer(a: argparse.Namespace) -> providers.LatexCompiler:
+    return providers.LatexCompiler(timeout=a.timeout, size=a.size, render=True, dpi=a.dpi, latexmk=a.latexmk)
+
+
 def run_render_dir(spark, a):
     """A PNG for each source file below a folder, at its place below the other; 0 if all worked, 1 if some, 2 if none."""
     files = sources.source_files(spark, a.input, recursive=True)
-    out = pipelines.rendered(files, providers.LatexCompiler(timeout=a.timeout, size=a.size, render=True), "source").select("path", F.col("render_image.bytes").alias("png")).persist()
+    out = pipelines.rendered(files, _drawer(a), "source").select("path", F.col("render_image.bytes").alias("png")).persist()
     try:
         n, good = out.count(), out.filter("png is not null").count()
         name = F.regexp_replace(text.output_path(F.col("path"), a.input, a.output), r"\.tex\z", ".png")
@@ -94,7 +115,7 @@ def run_render_dir(spark, a):
 
 
 def run_render(spark, a):
-    out = pipelines.rendered(sources.parquet(spark, a.input, a.code_col), providers.LatexCompiler(timeout=a.timeout, size=a.size, render=True), a.code_col, a.image_col or "render_image")
+    out = pipelines.rendered(sources.parquet(spark, a.input, a.code_col), _drawer(a), a.code_col, a.image_col or "render_image")
     out = out.persist()
     image = a.image_col or "render_image"
     if a.failed_output:
@@ -127,6 +148,13 @@ COMMANDS = {
 }
 
 
+#: Flags of all commands that ask a model. The key is better given by the environment, which other users don't see.
+MODEL_FLAGS = {
+    "--model-id": str, "--base-url": str, "--api-key": str, "--concurrency": int, "--max-retries": int, "--api-timeout": float,
+    "--temperature": float, "--top-p": float, "--max-tokens": int,
+}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="limn", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = top.add_subparsers(dest="command", required=True)
@@ -141,13 +169,16 @@ def parser() -> argparse.ArgumentParser:
         if name in ("sample", "both"):
             add("--out-sample", required=True), add("--bin-strategy", choices=("random", "first"), default="random"), add("--seed", type=int, default=42), add("--samples-per-bin", type=int, default=10_000), add("--bins", default="")
         if name in ("reorder", "add-comments"):
-            add("--output", required=True), add("--model", required=True), add("--input-col"), add("--output-col"), add("--thinking-col"), add("--keep-failed", action="store_true"), add("--concurrency", type=int), add("--max-retries", type=int), add("--api-timeout", type=float)
+            add("--output", required=True), add("--model", required=True), add("--input-col"), add("--output-col"), add("--thinking-col"), add("--keep-failed", action="store_true")
         if name in ("classify", "rate", "infer"):
             add("--output", required=True), add("--model", required=True), add("--image-col"), add("--batch-size", type=int, default=8), add("--limit", type=int), add("--no-resume", action="store_true"), add("--stats-csv"), add("--prompt")
+        if name in ("reorder", "add-comments", "classify", "rate", "infer"):
+            for flag, kind in MODEL_FLAGS.items():
+                add(flag, type=kind)
         if name == "render":
-            add("--output", required=True), add("--size", type=int, default=384), add("--timeout", type=float, default=60), add("--code-col", default="code"), add("--image-col"), add("--failed-output"), add("--success-json"), add("--drop-failed", action="store_true")
+            add("--output", required=True), add("--size", type=int, default=384), add("--timeout", type=float, default=60), add("--dpi", type=int, default=200), add("--latexmk", action="store_true"), add("--code-col", default="code"), add("--image-col"), add("--failed-output"), add("--success-json"), add("--drop-failed", action="store_true")
         if name == "render-dir":
-            add("--output", required=True), add("--size", type=int, default=384), add("--timeout", type=float, default=60)
+            add("--output", required=True), add("--size", type=int, default=384), add("--timeout", type=float, default=60), add("--dpi", type=int, default=200), add("--latexmk", action="store_true")
         if name == "prune":
             add("--output", required=True), add("--timeout", type=float, default=30), add("--max-files", type=int), add("--standalone", action="store_true"), add("--border", default="2mm")
         if name == "evaluate":
@@ -159,7 +190,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    return COMMANDS[args.command](SparkSession.builder.appName("limn").getOrCreate(), args) or 0
+    spark = SparkSession.builder.appName("limn").getOrCreate()
+    sources.required_paths(spark, *(p for p in (args.input, getattr(args, "pred_dir", None), getattr(args, "ref_dir", None)) if p))
+    return COMMANDS[args.command](spark, args) or 0
 
 
 if __name__ == "__main__":

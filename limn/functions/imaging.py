@@ -1,10 +1,14 @@
-"""Images on numpy: PNG decoding, resizing, edge maps and pixel metrics. Columns go through Arrow UDFs."""
+"""Images on numpy: decoding, resizing, edge maps and pixel metrics. Columns go through Arrow UDFs."""
 
 from __future__ import annotations
 
 import base64
+import binascii
 import struct
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, functions as F, types as T
@@ -14,10 +18,12 @@ CELL = "struct<path: string, bytes: binary, kind: string>"
 
 
 def normalised_cell(cell: Column, kind: str) -> Column:
-    """An image cell as struct<path, bytes, kind>. kind of the column: binary, struct (bytes, path) or string.
+    """An image cell as struct<path, bytes, kind>. kind of the column: binary, struct (bytes, path), string, or array of one of these.
 
-    A string is a data URI, a web address, or else a path. Null cells are null.
+    A string is a data URI, a web address, or else a path; of an array the first element counts. Null and empty cells are null.
     """
+    if kind.startswith("array "):
+        return normalised_cell(F.get(cell, F.lit(0)), kind.removeprefix("array "))
     empty = lambda t: F.lit(None).cast(t)
     of = lambda p, b, k: F.struct(p.alias("path"), b.alias("bytes"), F.lit(k).alias("kind"))
     if kind == "binary":
@@ -30,7 +36,7 @@ def normalised_cell(cell: Column, kind: str) -> Column:
 
 def decode_png(data: bytes) -> np.ndarray:
     """A PNG as uint8 (height, width, channels). Bit depths 8 and 16, no interlacing; palettes are looked up."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
+    if not data.startswith(SIGNATURES["png"]):
         raise ValueError("not a PNG")
     at, packed, palette, alpha = 8, [], None, None
     while at + 8 <= len(data):
@@ -117,11 +123,121 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return (np.rint(p @ np.array([0.299, 0.587, 0.114])) / 255).astype(np.float32)
 
 
+#: How files of a kind begin, the EXIF tag of the orientation, and its types of two and four bytes.
+SIGNATURES = {"png": b"\x89PNG\r\n\x1a\n", "jpeg": b"\xff\xd8\xff", "gif": b"GIF8", "bmp": b"BM", "webp": b"RIFF"}
+ORIENTATION, SHORT, LONG = 0x0112, 3, 4
+
+
+def kind_of(data: bytes) -> str | None:
+    """The kind of an image file by its first bytes."""
+    return next((kind for kind, start in SIGNATURES.items() if data.startswith(start)), None)
+
+
+def _exif(data: bytes) -> bytes:
+    """The EXIF block of a PNG or JPEG; empty where there is none."""
+    kind, at = kind_of(data), 8
+    if kind == "png":
+        while at + 8 <= len(data):
+            n, name = struct.unpack(">I4s", data[at : at + 8])
+            if name == b"eXIf":
+                return data[at + 8 : at + 8 + n]
+            at += 12 + n
+    elif kind == "jpeg":
+        at = 2
+        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+            n = struct.unpack(">H", data[at + 2 : at + 4])[0]
+            if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+                return data[at + 10 : at + 2 + n]
+            at += 2 + n
+    return b""
+
+
+def orientation(data: bytes) -> int:
+    """The EXIF orientation of an image file, from 1 to 8; 1 where it says none that is valid."""
+    block = _exif(data)
+    order = {b"II": "<", b"MM": ">"}.get(block[:2])
+    try:
+        at = struct.unpack(order + "I", block[4:8])[0] if order else len(block)
+        for i in range(struct.unpack(order + "H", block[at : at + 2])[0] if order else 0):
+            entry = block[at + 2 + 12 * i : at + 14 + 12 * i]
+            tag, kind = struct.unpack(order + "HH", entry[:4])
+            if tag == ORIENTATION and kind in (SHORT, LONG):
+                value = struct.unpack(order + ("H" if kind == SHORT else "I"), entry[8 : 10 if kind == SHORT else 12])[0]
+                return value if 1 <= value <= 8 else 1
+    except struct.error:
+        pass
+    return 1
+
+
+def upright(pixels: np.ndarray, turned: int) -> np.ndarray:
+    """Pixels as an EXIF orientation wants them shown: from 5 on the axes change places, then each axis may be reversed."""
+    p = np.swapaxes(pixels, 0, 1) if turned >= 5 else pixels
+    return p[:: -1 if turned in (3, 4, 7, 8) else 1, :: -1 if turned in (2, 3, 6, 7) else 1]
+
+
+def local_bytes(path: str) -> bytes:
+    """What a file of a folder that all workers have holds."""
+    return Path(path.removeprefix("file:")).read_bytes()
+
+
+@dataclass(frozen=True)
+class Loader:
+    """Opens images of any origin as RGB on white, upright: bytes, a data URI or base64 text, a path or a web address.
+
+    PNG is decoded here. decoders: what turns the bytes of another kind of SIGNATURES into pixels. fetch and open: what
+    gives the bytes behind a web address and a path. What can't be opened is a ValueError.
+    """
+
+    decoders: dict[str, Callable[[bytes], np.ndarray]] = field(default_factory=dict)
+    fetch: Callable[[str], bytes] | None = None
+    open: Callable[[str], bytes] = local_bytes
+
+    def bytes_of(self, image: bytes | str) -> bytes:
+        if not isinstance(image, str):
+            return bytes(image)
+        if image.startswith(("http://", "https://")):
+            if self.fetch is None:
+                raise ValueError("nothing fetches web addresses here")
+            return self.fetch(image)
+        try:
+            if not image.startswith("data:"):
+                return self.open(image)
+        except (OSError, ValueError):  # then it may be base64
+            pass
+        try:
+            return base64.b64decode(image.split(",", 1)[-1] if image.startswith("data:") else image, validate=True)
+        except binascii.Error as e:
+            raise ValueError(f"neither a path nor base64: {image[:80]}") from e
+
+    def __call__(self, image: bytes | str) -> np.ndarray:
+        try:
+            data = self.bytes_of(image)
+            kind = kind_of(data)
+            decode = self.decoders.get(kind) or (decode_png if kind == "png" else None)
+            if decode is None:
+                raise ValueError(f"no decoder of {kind or 'this kind of file'}")
+            return on_white(upright(decode(data), orientation(data)))
+        except (OSError, TypeError, KeyError, struct.error, zlib.error) as e:
+            raise ValueError(f"an image that can't be opened: {e}") from e
+
+
 def load_bytes(data: bytes | str) -> np.ndarray:
-    """Pixels from PNG bytes, or from a base64 data URI of them."""
-    if isinstance(data, str):
-        data = base64.b64decode(data.split(",", 1)[-1])
-    return decode_png(data)
+    """Pixels of an image as it stands in its file, from PNG bytes or a base64 data URI of them."""
+    return decode_png(Loader().bytes_of(data))
+
+
+def as_png(cell: Column, loader: Loader | None = None) -> Column:
+    """A cell of `normalised_cell` as bytes of an upright RGB PNG on white, which all metrics take; null where it can't be opened."""
+    opened = loader or Loader()
+
+    @udf(returnType=T.BinaryType(), useArrow=True)
+    def convert(path, data):
+        try:
+            return encode_png(opened(bytes(data) if data is not None else path)) if data is not None or path else None
+        except ValueError:
+            return None
+
+    return convert(cell["path"], cell["bytes"])
 
 
 def require_grey(image: np.ndarray) -> np.ndarray:
@@ -146,17 +262,33 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return (rows[:, c] * (1 - g) + rows[:, d] * g).astype(image.dtype)
 
 
+def lanczos(image: np.ndarray, height: int, width: int, lobes: int = 3) -> np.ndarray:
+    """Resampled by a windowed sinc, which widens where the image shrinks; uint8 stays within its range."""
+
+    def weights(n: int, m: int) -> np.ndarray:
+        x = (np.arange(n) + 0.5 - (np.arange(m)[:, None] + 0.5) * n / m) / max(n / m, 1)
+        w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0)
+        return w / w.sum(axis=1, keepdims=True)
+
+    rows = np.tensordot(weights(image.shape[0], height), image, 1)
+    out = np.moveaxis(np.tensordot(weights(image.shape[1], width), rows, (1, 1)), 0, 1)
+    return np.clip(out.round(), 0, 255).astype(np.uint8) if image.dtype == np.uint8 else out.astype(image.dtype)
+
+
 def trim_square(pixels: np.ndarray, size: int | None = None) -> np.ndarray:
-    """RGB without its white border, centred on a white square; resized to `size` if given."""
+    """RGB without its white border, centred on a white square: of the longer side, or of `size`, to which that side is resized."""
     inked = np.argwhere((pixels < 255).any(axis=2))
     if len(inked):
         (y0, x0), (y1, x1) = inked.min(axis=0), inked.max(axis=0) + 1
         pixels = pixels[y0:y1, x0:x1]
     h, w = pixels.shape[:2]
-    side = max(h, w)
+    side = size or max(h, w)
+    if max(h, w) != side:
+        h, w = max(round(h * side / max(h, w)), 1), max(round(w * side / max(h, w)), 1)
+        pixels = lanczos(pixels, h, w)
     out = np.full((side, side, pixels.shape[2]), 255, pixels.dtype)
     out[(side - h) // 2 : (side - h) // 2 + h, (side - w) // 2 : (side - w) // 2 + w] = pixels
-    return resize(out.astype(np.float64), size, size).round().astype(pixels.dtype) if size else out
+    return out
 
 
 def is_blank(pixels: np.ndarray) -> bool:
@@ -265,8 +397,8 @@ IMAGE_METRICS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("mse",
 def image_metrics(predicted, reference):
     """All pixel metrics of a pair of PNGs, each decoded once; null where one can't be read."""
     try:
-        p, r = (on_white(decode_png(bytes(x))) for x in (predicted, reference))
-    except (ValueError, TypeError, KeyError, struct.error, zlib.error):
+        p, r = (Loader()(bytes(x)) for x in (predicted, reference))
+    except (ValueError, TypeError):
         return None
     gp, gr, sp, sr = grey(p), grey(r), grey(trim_square(p)), grey(trim_square(r))
     return edge_similarity(gp, gr) * 100, pixel_distance(gp, gr) * 100, ssim(sp, sr), psnr(gp, gr)
@@ -278,8 +410,8 @@ def reward_similarities(predicted, reference):
     if reference is None:
         return 0.0, 0.0
     try:
-        p, r = (grey(on_white(decode_png(bytes(x)))) for x in (predicted, reference))
-    except (ValueError, TypeError, KeyError, struct.error, zlib.error):
+        p, r = (grey(Loader()(bytes(x))) for x in (predicted, reference))
+    except (ValueError, TypeError):
         return -1.0, -1.0
     return edge_similarity(p, r), pixel_similarity(p, r)
 
@@ -300,3 +432,10 @@ def readable_png(data):
         return decode_png(bytes(data)).size > 0
     except (ValueError, TypeError, KeyError, struct.error, zlib.error):
         return False
+
+
+@udf(returnType=T.BinaryType(), useArrow=True)
+def png_of_rows(data, height, width, channels):
+    """The PNG of an image source's bytes, whose colours stand as blue, green, red and alpha."""
+    pixels = np.frombuffer(bytes(data), np.uint8).reshape(height, width, channels)
+    return encode_png(on_white(pixels if channels == 1 else pixels[..., [2, 1, 0, 3][:channels]]))

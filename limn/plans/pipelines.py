@@ -39,6 +39,8 @@ def corpus(df: DataFrame, per_bin: int = 10_000, strategy: str = "random", seed:
 
 REORDER = "Bring the drawing commands of this TikZ code into a natural order without changing the picture. Define everything before it is used, correct relative positions, and drop styles that nothing uses. Think first; give the code in a fence."
 COMMENT = "Describe the picture in under 100 words, think in at most 600, then repeat the code unchanged with comments that explain each part, in a fence."
+#: Fixed value: what a request for comments says, since its reply has the reasoning itself.
+COMMENT_OPTIONS = {"extra_body": {"enable_thinking": False}}
 
 
 def rewritten(df: DataFrame, model: providers.Model, instruction: str = REORDER, source: str = "code", output: str = "new_code", thinking: str = "thinking", keep_failed: bool = False) -> DataFrame:

@@ -5,6 +5,10 @@ Files go below spark.checkpoint.dir. Sinks run when the query is called, as they
 
 from __future__ import annotations
 
+import base64
+import struct
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -176,6 +180,38 @@ def pixel_metrics(spark, sf_dir):
     return found.select("filename", F.round("mse_nocanny", 3).alias("mse_nocanny"), F.round("psnr", 3).alias("psnr"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 8 + 1 AS o, p_partkey % 251 AS a, p_partkey % 241 AS b FROM part)
+    SELECT k AS p_partkey, o >= 5 AS tall, CASE WHEN o IN (2, 3, 7, 8) THEN b ELSE a END AS first, CASE WHEN o IN (2, 3, 7, 8) THEN a ELSE b END AS last FROM p""")
+def upright_images(spark, sf_dir):
+    """Pictures of two pixels with all EXIF orientations, as lists of data URIs, opened upright."""
+
+    def draw(key):
+        png = imaging.encode_png(np.array([[key % 251, key % 241]], np.uint8))
+        exif = b"MM\0*" + struct.pack(">IHHHIHHI", 8, 1, imaging.ORIENTATION, imaging.SHORT, 1, key % 8 + 1, 0, 0)
+        chunk = struct.pack(">I", len(exif)) + b"eXIf" + exif + struct.pack(">I", zlib.crc32(b"eXIf" + exif))
+        return [f"data:image/png;base64,{base64.b64encode(png[:33] + chunk + png[33:]).decode()}"]
+
+    def seen(png):
+        pixels = imaging.decode_png(bytes(png))
+        return pixels.shape[0] > pixels.shape[1], int(pixels[0, 0, 0]), int(pixels[-1, -1, 0])
+
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"))
+    cells = sources.image_cells(rows.withColumn("image", F.udf(draw, "array<string>", useArrow=True)("p_partkey")), "image")
+    look = F.udf(seen, "struct<tall: boolean, first: long, last: long>", useArrow=True)
+    return cells.select("p_partkey", look(imaging.as_png(F.col("image"))).alias("s")).select("p_partkey", "s.*")
+
+
+@query("SELECT 's' || s_suppkey || '.png' AS filename, s_suppkey % 256 AS red, s_suppkey * 7 % 256 AS green, s_suppkey * 31 % 256 AS blue FROM supplier")
+def folder_images(spark, sf_dir):
+    """A picture file for each supplier, decoded by the JVM."""
+    draw = F.udf(lambda k: imaging.encode_png(np.array([[[k % 256, k * 7 % 256, k * 31 % 256]]], np.uint8)), "binary", useArrow=True)
+    seen = F.udf(lambda png: imaging.decode_png(bytes(png))[0, 0].tolist(), "array<long>", useArrow=True)
+    out = scratch(spark, "folder")
+    _write_files(table(spark, sf_dir, "supplier").select("s_suppkey"), out, F.concat(F.lit("s"), "s_suppkey", F.lit(".png")), draw("s_suppkey"))
+    colours = sources.decoded_images(spark, out).select("filename", seen("bytes").alias("c"))
+    return colours.select("filename", *(F.col("c")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))))
+
+
 _DIOU = """m AS (SELECT *, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s,
         (a.x0 + a.x1 - b.x0 - b.x1) * (a.x0 + a.x1 - b.x0 - b.x1) / 4.0 + (a.y0 + a.y1 - b.y0 - b.y1) * (a.y0 + a.y1 - b.y0 - b.y1) / 4.0 AS c,
         (greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.x1, b.x1) - least(a.x0, b.x0)) + (greatest(a.y1, b.y1) - least(a.y0, b.y0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0)) AS g FROM b),

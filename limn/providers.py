@@ -13,6 +13,7 @@ import signal
 import subprocess
 import tempfile
 import time
+import urllib.request
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -78,21 +79,32 @@ def run_group(command: list[str], folder: str, timeout: float) -> tuple[int, str
 
 @dataclass
 class LatexCompiler:
-    """Compiles with the engines that the machine has, in turn, without shell escape, and renders the last page to PNG."""
+    """Compiles with the engines that the machine has, in turn, without shell escape, and renders the last page to PNG.
+
+    latexmk: let it run an engine as often as references need. An empty bibliography stands ready for classes that read one.
+    """
 
     engines: tuple[str, ...] = ("pdflatex", "lualatex", "xelatex")
     timeout: float = TIMEOUT
     size: int = 384
     render: bool = False
+    dpi: int = 200
+    latexmk: bool = False
+
+    def command(self, engine: str) -> list[str]:
+        if self.latexmk:
+            return ["latexmk", f"-{engine}", "-norc", "-nobibtex", "-interaction=nonstopmode", "-latexoption=-no-shell-escape", "a.tex"]
+        return [engine, "-interaction=batchmode", "-halt-on-error", "-no-shell-escape", "a.tex"]
 
     def compile(self, code: str) -> dict:
         began = time.monotonic()
         result = failed("no LaTeX engine")
         with tempfile.TemporaryDirectory() as folder:  # local to one compile, never read by another task
             Path(folder, "a.tex").write_text(code)
+            Path(folder, "a.bbl").touch()
             for engine in self.engines:
                 try:
-                    rc, out = run_group([engine, "-interaction=batchmode", "-halt-on-error", "-no-shell-escape", "a.tex"], folder, self.timeout)
+                    rc, out = run_group(self.command(engine), folder, self.timeout)
                 except OSError as e:
                     result = failed(f"{engine}: {e.strerror}")
                     continue
@@ -112,7 +124,7 @@ class LatexCompiler:
         from limn.functions import imaging
 
         try:
-            rc, _ = run_group(["pdftoppm", "-png", "-r", "200", "a.pdf", "page"], folder, self.timeout)
+            rc, _ = run_group(["pdftoppm", "-png", "-r", str(self.dpi), "a.pdf", "page"], folder, self.timeout)
         except OSError:
             return None
         pages = sorted(Path(folder).glob("page*.png"), key=lambda p: (len(p.name), p.name))
@@ -122,6 +134,17 @@ class LatexCompiler:
         return None if imaging.is_blank(pixels) else imaging.encode_png(imaging.trim_square(pixels, self.size))
 
 
+def reward_compiler(timeout: float = TIMEOUT) -> LatexCompiler:
+    """What rewards are computed with: one engine, and PNG and PDF of the page."""
+    return LatexCompiler(engines=("pdflatex",), timeout=timeout, render=True)
+
+
+def fetched(address: str, timeout: float = 30) -> bytes:
+    """What a web address holds, for `imaging.Loader(fetch=...)`."""
+    with urllib.request.urlopen(urllib.request.Request(address, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout) as reply:
+        return reply.read()
+
+
 @dataclass
 class RuleCompiler:
     """A stand-in that compiles by a rule: code fails where one of `needed` is absent from it. For tests and recordings."""
@@ -204,7 +227,7 @@ class RecordedReplies:
 
 @dataclass
 class ChatModel:
-    """An OpenAI-style endpoint: `client()` gives an async client in the worker. Only API errors are tried again.
+    """An OpenAI-style endpoint: `client(**connection)` gives an async client in the worker. Only API errors are tried again.
 
     At most `concurrency` requests of a task are under way. Between attempts it waits 2, 4, ... up to 10 seconds, and not
     after the last. A request that takes more than `timeout` seconds is one that failed. options go with each request:
@@ -219,12 +242,13 @@ class ChatModel:
     retried: tuple[type[BaseException], ...] = (ConnectionError, TimeoutError)
     timeout: float = 300
     options: dict = field(default_factory=dict)
+    connection: dict = field(default_factory=dict)
 
     def generate(self, prompts: list[dict]) -> list[str]:
         return asyncio.run(self._all(prompts))
 
     async def _all(self, prompts: list[dict]) -> list[str]:
-        client, limit = self.client(), asyncio.Semaphore(self.concurrency)
+        client, limit = self.client(**self.connection), asyncio.Semaphore(self.concurrency)
 
         async def one(p: dict) -> str:
             async with limit:

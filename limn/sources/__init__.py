@@ -66,6 +66,18 @@ def images(spark: SparkSession, path: str, pattern: str = "*.png", recursive: bo
     return df.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("content").alias("bytes"))
 
 
+def decoded_images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(filename, bytes) of a folder's images of any kind that the JVM reads, decoded there and kept as PNG; others are left out.
+
+    The JVM doesn't turn pictures by their EXIF orientation; `imaging.as_png` of `images` does.
+    """
+    from limn.functions.imaging import png_of_rows
+
+    df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", recursive).load(path)
+    name = F.element_at(F.split("image.origin", "/"), -1).alias("filename")
+    return df.select(name, png_of_rows("image.data", "image.height", "image.width", "image.nChannels").alias("bytes"))
+
+
 def image_pairs(spark: SparkSession, predicted: str, reference: str) -> DataFrame:
     """(filename, pred, ref) of image files that both folders have; predictions without a reference are left out."""
     p = images(spark, predicted).withColumnRenamed("bytes", "pred")
@@ -98,7 +110,9 @@ def image_cells(df: DataFrame, column: str, limit: int | None = None, key: str |
 
     verify: a cell whose bytes aren't a readable PNG gets the marker before its path. Web addresses and paths aren't read.
     """
-    kind = {"binary": "binary", "string": "string"}.get(dict(df.dtypes)[column], "struct")
+    told = dict(df.dtypes)[column]
+    inner = told.removeprefix("array<").removesuffix(">") if told.startswith("array<") else told
+    kind = ("array " if told.startswith("array<") else "") + (inner if inner in ("binary", "string") else "struct")
     rows = df.orderBy(key).limit(limit) if limit is not None and key else df
     cells = rows.withColumn(column, normalised_cell(F.col(column), kind))
     if verify:
@@ -138,6 +152,14 @@ def tokenizer_files(spark: SparkSession, path: str, load: Callable[[str], object
 ENVIRONMENT = {"api_key": "OPENAI_API_KEY", "image_folder": "VLM_TMP_DIR", "perceptual_environment": "DREAMSIM_ENV", "perceptual_cache": "DREAMSIM_CACHE_DIR"}
 
 
+def required_paths(spark: SparkSession, *paths: str) -> None:
+    """FileNotFoundError, before any job, for the first of the paths or patterns that nothing matches in its file system."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(there):
+            raise FileNotFoundError(path)
+
+
 def setting(spark: SparkSession, name: str, default: str | None = None, required: bool = False) -> str | None:
     """A setting from spark.limn.NAME, else from its environment variable. ValueError where a required one is absent."""
     found = spark.conf.get(f"spark.limn.{name}", None) or os.environ.get(ENVIRONMENT.get(name, ""), None) or default

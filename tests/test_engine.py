@@ -2,6 +2,9 @@
 
 import json
 from collections import Counter
+from functools import partial
+from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import numpy as np
 import pytest
@@ -14,6 +17,16 @@ from limn.plans import pipelines
 from limn.sources import sinks
 
 
+class Asked:
+    """A model that takes some of the flags."""
+
+    def __init__(self):
+        self.options, self.connection, self.timeout, self.model, self.checked = {}, {}, 1, "", False
+
+    def check(self):
+        self.checked = True
+
+
 def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
 
@@ -251,6 +264,35 @@ def test_image_cells(spark):
     assert {r["id"]: r["ok"] for r in checked.collect()} == {1: True, 2: False}
 
 
+def test_cells_of_any_origin_become_png(spark, tmp_path):
+    png = imaging.encode_png(np.full((2, 2), 9, np.uint8))
+    (tmp_path / "a.png").write_bytes(png)
+    rows = [(1, [png, b"x"]), (2, [b"x"]), (3, []), (4, None)]
+    cells = sources.image_cells(spark.createDataFrame(rows, "id long, image array<binary>"), "image")
+    got = {r["id"]: r["p"] for r in cells.select("id", imaging.as_png(F.col("image")).alias("p")).collect()}
+    assert sorted(got) == [1, 2] and got[2] is None and (imaging.decode_png(bytes(got[1])) == 9).all()
+    paths = sources.image_cells(spark.createDataFrame([(1, str(tmp_path / "a.png")), (2, "https://x/y"), (3, str(tmp_path / "b.png"))], "id long, image string"), "image")
+    fetch = lambda address: imaging.encode_png(np.full((1, 1), len(address), np.uint8))
+    got = {r["id"]: r["p"] and imaging.decode_png(bytes(r["p"]))[0, 0, 0] for r in paths.select("id", imaging.as_png(F.col("image"), imaging.Loader(fetch=fetch)).alias("p")).collect()}
+    assert got == {1: 9, 2: 11, 3: None}
+    sources.required_paths(spark, str(tmp_path), str(tmp_path / "*.png"))
+    with pytest.raises(FileNotFoundError):
+        sources.required_paths(spark, str(tmp_path), str(tmp_path / "*.gif"))
+
+
+def test_folders_of_jpegs(spark, tmp_path):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(16, 8, 1)
+    for x in range(16):
+        for y in range(8):
+            picture.setRGB(x, y, 0x2040C0)
+    assert jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(tmp_path / "a.jpg")))
+    (tmp_path / "b.jpg").write_bytes(b"broken")
+    (row,) = sources.decoded_images(spark, str(tmp_path)).collect()
+    pixels = imaging.decode_png(bytes(row["bytes"])).astype(int)
+    assert row["filename"] == "a.jpg" and pixels.shape == (8, 16, 3) and abs(pixels - [0x20, 0x40, 0xC0]).max() <= 4
+
+
 def test_bleu_of_equal_texts(spark):
     pairs = spark.createDataFrame([(1, "a b c d e f".split(), "a b c d e f".split()), (2, "u v w x y".split(), "u v w x y".split())], "key long, p array<string>, r array<string>")
     assert abs(textmetrics.corpus_bleu(pairs, "key", F.col("p"), F.col("r"), top=0).first()["bleu"] - 100) < 1e-9
@@ -341,6 +383,33 @@ def test_evaluation_columns_of_models(spark):
     assert got == {"psnr": 2.0, "dsim": 60.0, "lpips": 0.25, "kid": 0.125, "coverage": "2/1"}
 
 
+def test_fetching(tmp_path):
+    (tmp_path / "a").write_bytes(b"bytes")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert providers.fetched(f"http://127.0.0.1:{server.server_port}/a") == b"bytes"
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_model_flags():
+    from limn.__main__ import _model, parser
+
+    common = ["--input", "a", "--output", "b", "--model", "tests.test_engine:Asked"]
+    a = parser().parse_args(["add-comments", *common, "--temperature", "0.5", "--base-url", "u", "--api-timeout", "9", "--model-id", "m"])
+    model = _model(a, **pipelines.COMMENT_OPTIONS)
+    assert model.options == {"extra_body": {"enable_thinking": False}, "temperature": 0.5} and model.connection == {"base_url": "u"}
+    assert model.timeout == 9 and model.model == "m" and model.checked and not hasattr(model, "concurrency")
+
+
+def test_latexmk_and_the_reward_s_engine():
+    command = providers.LatexCompiler(latexmk=True).command("xelatex")
+    assert command[:2] == ["latexmk", "-xelatex"] and any("no-shell-escape" in c for c in command)
+    assert providers.reward_compiler().engines == ("pdflatex",) and providers.reward_compiler().render
+
+
 def test_compiler_without_engines():
     result = providers.LatexCompiler(engines=("no-such-engine",)).compile("x")
     assert result["ok"] is False and "no-such-engine" in result["error"]

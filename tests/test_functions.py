@@ -1,5 +1,8 @@
 """Pure functions, on hand-derived cases and properties."""
 
+import base64
+import struct
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -239,6 +242,47 @@ def test_trim_and_flatten():
     assert (imaging.on_white(clear) == 255).all()
 
 
+def test_lanczos_keeps_flat_pictures_and_their_range():
+    assert (imaging.lanczos(np.full((9, 5, 3), 77, np.uint8), 4, 11) == 77).all()
+    x = np.zeros((8, 8, 1), np.uint8)
+    x[:, 4:] = 255
+    up, down = imaging.lanczos(x, 8, 16)[0, :, 0], imaging.lanczos(x, 4, 4)[0, :, 0]
+    assert up[0] < 10 and up[-1] > 245 and down.tolist() == sorted(down.tolist()) and abs(int(down[0]) + int(down[-1]) - 255) <= 1
+    wide = np.zeros((10, 40, 3), np.uint8)
+    assert imaging.trim_square(wide, 20).shape == (20, 20, 3) and (imaging.trim_square(wide, 20)[:7] == 255).all() and (imaging.trim_square(wide, 20)[8:12] < 255).all()
+
+
+@pytest.mark.parametrize("turned", range(1, 9))
+def test_upright(turned):
+    """Against the turns and mirrors that each orientation names."""
+    x = np.arange(6).reshape(2, 3, 1)
+    named = [x, x[:, ::-1], np.rot90(x, 2), x[::-1], x.swapaxes(0, 1), np.rot90(x, -1), np.rot90(x, 2).swapaxes(0, 1), np.rot90(x, 1)]
+    assert np.array_equal(imaging.upright(x, turned), named[turned - 1])
+
+
+def test_orientation_of_files():
+    entry = lambda order, value: struct.pack(order + "HHIHH", imaging.ORIENTATION, imaging.SHORT, 1, value, 0)
+    block = lambda order, value: (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IH", 8, 1) + entry(order, value)
+    jpeg = lambda e: b"\xff\xd8\xff\xe0\0\4ab\xff\xe1" + struct.pack(">H", len(e) + 8) + b"Exif\0\0" + e + b"\xff\xda\0\2"
+    assert [imaging.orientation(jpeg(block(o, v))) for o, v in (("<", 6), (">", 3), ("<", 9))] == [6, 3, 1]
+    assert imaging.orientation(jpeg(b"II*\0")) == imaging.orientation(jpeg(block("<", 6)[:12])) == imaging.orientation(b"") == imaging.orientation(b"\xff\xd8\xff") == 1
+
+
+def test_loader(tmp_path):
+    png = imaging.encode_png(np.full((2, 3, 4), 0, np.uint8))
+    (tmp_path / "a.png").write_bytes(png)
+    text = base64.b64encode(png).decode()
+    load = imaging.Loader({"jpeg": lambda data: np.full((1, 1, 1), len(data), np.uint8)}, fetch={"https://x/y": png}.__getitem__)
+    for image in (png, str(tmp_path / "a.png"), "file:" + str(tmp_path / "a.png"), text, "data:image/png;base64," + text, "https://x/y"):
+        assert (load(image) == 255).all() and load(image).shape == (2, 3, 3)
+    assert load(b"\xff\xd8\xff\xe0")[0, 0].tolist() == [4, 4, 4]
+    for image in (b"", b"GIF89a", png[:20], png[:-20], "no such file", "data:image/png;base64,!", "https://x/z", None):
+        with pytest.raises(ValueError):
+            load(image)
+    with pytest.raises(ValueError):
+        imaging.Loader()("https://x/y")
+
+
 def test_edit_distance():
     assert extended_edit_distance(" a b ", " a b ") < 0.35 and extended_edit_distance("", " abc def ") == 1
     assert extended_edit_distance(" kitten sits ", " kitten sits ") < extended_edit_distance(" kittn sits ", " kitten sits ") < extended_edit_distance(" zzz ", " kitten sits ")
