@@ -18,6 +18,9 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(rows)
         return rows[order], columns[order]
     n, m = cost.shape
+    cheapest = cost.argmin(axis=1)
+    if len(set(cheapest.tolist())) == n:  # no assignment can cost less than each row's least
+        return np.arange(n), cheapest
     row_price, column_price, row_of = np.zeros(n), np.zeros(m), np.full(m, -1)
     for start in range(n):
         distance, came_from, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)

@@ -198,29 +198,41 @@ def without_duplicates(elements: list[Element]) -> list[Element]:
     return out
 
 
-def _share(a: float, b: float, least: float = 1e-6) -> float:
-    return abs(a - b) / max(a, b, least)
-
-
-def _measures(a: Element, b: Element, canvas: float) -> dict[str, float]:
-    size = lambda e: (e.bbox["x1"] - e.bbox["x0"]) * (e.bbox["y1"] - e.bbox["y0"])
-    turn = abs(a.orientation - b.orientation)
-    out = {"position": math.hypot(a.cx - b.cx, a.cy - b.cy) / canvas, "area": _share(a.area, b.area), "orientation": min(turn, math.pi - turn) / (math.pi / 2), "box": _share(size(a), size(b))}
-    if a.type == "circle":
-        out["radius"] = _share(a.coordinates[2], b.coordinates[2])
-    if a.type == "rectangle":
-        aspect = lambda e: abs(e.coordinates[2]) / max(abs(e.coordinates[3]), 1e-6)
-        out["aspect"] = _share(aspect(a), aspect(b))
-    if a.type == "polygon":
-        out["vertices"] = _share(len(a.coordinates) // 2, len(b.coordinates) // 2, 1)
-    return out
+def costs(a: list[Element], b: list[Element], canvas: float) -> np.ndarray:
+    """Cost of matching each of a with each of b, all of one type; only the measures that the type weighs are taken."""
+    if not a or not b:
+        return np.zeros((len(a), len(b)))
+
+    def pair(value) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([[value(e)] for e in a], float), np.array([value(e) for e in b], float)
+
+    def share(value, least: float = 1e-6) -> np.ndarray:
+        x, y = pair(value)
+        return np.abs(x - y) / np.maximum(np.maximum(x, y), least)
+
+    def position() -> np.ndarray:
+        (x, u), (y, v) = pair(lambda e: e.cx), pair(lambda e: e.cy)
+        return np.hypot(x - u, y - v) / canvas
+
+    def turned() -> np.ndarray:
+        x, y = pair(lambda e: e.orientation)
+        turn = np.abs(x - y)
+        return np.minimum(turn, math.pi - turn) / (math.pi / 2)
+
+    measures = {
+        "position": position, "orientation": turned, "area": lambda: share(lambda e: e.area),
+        "box": lambda: share(lambda e: (e.bbox["x1"] - e.bbox["x0"]) * (e.bbox["y1"] - e.bbox["y0"])),
+        "radius": lambda: share(lambda e: e.coordinates[2]),
+        "aspect": lambda: share(lambda e: abs(e.coordinates[2]) / max(abs(e.coordinates[3]), 1e-6)),
+        "vertices": lambda: share(lambda e: len(e.coordinates) // 2, 1),
+    }
+    weights, _ = COSTS.get(a[0].type, COSTS["other"])
+    return sum(w * measures[m]() for m, w in weights.items())
 
 
 def cost(a: Element, b: Element, canvas: float) -> float:
     """Cost of matching two elements of one type."""
-    weights, _ = COSTS.get(a.type, COSTS["other"])
-    measures = _measures(a, b, canvas)
-    return sum(w * measures[m] for m, w in weights.items())
+    return float(costs([a], [b], canvas)[0, 0])
 
 
 def canvas_size(elements: list[Element]) -> float:
@@ -237,9 +249,9 @@ def geometry_result(candidate: list[Element], reference: list[Element]) -> dict:
     canvas, by_type, counts = canvas_size(candidate + reference), {}, {}
     for kind in sorted({e.type for e in candidate} | {e.type for e in reference}):
         a, b = [e for e in candidate if e.type == kind], [e for e in reference if e.type == kind]
-        costs = np.array([[cost(x, y, canvas) for y in b] for x in a]).reshape(len(a), len(b))
-        rows, columns = assign(costs)
-        by_type[kind] = float(np.exp(-COSTS.get(kind, COSTS["other"])[1] * costs[rows, columns]).sum())
+        of_pairs = costs(a, b, canvas)
+        rows, columns = assign(of_pairs)
+        by_type[kind] = float(np.exp(-COSTS.get(kind, COSTS["other"])[1] * of_pairs[rows, columns]).sum())
         counts[kind] = {"candidate": len(a), "reference": len(b)}
     return {"overall": sum(by_type.values()) / max(len(candidate), len(reference)), "by_type": by_type, "counts": counts}
 
