@@ -68,7 +68,11 @@ def _half(fp, h: int):
 
 
 def _ball(fp, h: int):
-    """A half's value and its flips from 0 to 1, as keys that hold the half's number."""
+    """A half's value and its flips from 0 to 1, as keys that hold the half's number.
+
+    Spark doesn't count the rows that these are exploded to: it takes them for as large as the classes' compressed file, and
+    would send them all through the driver as a broadcast. So exploded ones are joined by a merge join at every size.
+    """
     half = _half(fp, h)
     flips = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: half.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda k: k != half)
     return F.transform(F.concat(F.array(half), flips), lambda k: k + F.lit(h << 32))
@@ -87,7 +91,7 @@ def links(classes: DataFrame, distance: int = 3, crowded: int = CROWDED) -> Data
     hot = written(sizes.select("key"), "simhash-crowded")
     probes = classes.select("rep", "fp", F.explode(F.concat(_ball(F.col("fp"), 0), _ball(F.col("fp"), 1))).alias("key"))
     sparse = index.join(hot, "key", "left_anti") if hot.take(1) else index
-    i, p = sparse.alias("i"), probes.alias("p")
+    i, p = sparse.alias("i"), probes.hint("merge").alias("p")
     near = (F.bit_count(F.col("i.fp").bitwiseXOR(F.col("p.fp"))) <= distance) & (F.col("i.rep") != F.col("p.rep"))
     found = i.join(p, (F.col("i.key") == F.col("p.key")) & near).select(F.least("i.rep", "p.rep").alias("a"), F.greatest("i.rep", "p.rep").alias("b"))
     if hot.take(1):
@@ -310,7 +314,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, linked: DataFrame, similari
     crowd = written(leaders.filter(F.col("n") >= crowded), "simhash-leaders")
     # A crowded bucket is one row without a node here, so the probes are dealt out once for both kinds.
     marks = crowd.select(F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("fp"), "key")
-    i, p = index.join(crowd.select("key"), "key", "left_anti").select("rep", "fp", "key").unionByName(marks).alias("i"), probes.alias("p")
+    i, p = index.join(crowd.select("key"), "key", "left_anti").select("rep", "fp", "key").unionByName(marks).alias("i"), probes.hint("merge").alias("p")
     met = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.rep").isNull() | ((F.col("i.rep") != F.col("p.rep")) & ~far("i.fp", "p.fp"))))
     met = written(met.select(F.col("i.rep").alias("a"), F.col("p.rep").alias("rep"), F.col("p.fp").alias("fp"), F.col("p.flip").alias("flip"), F.col("p.key").alias("key")), "simhash-met")
     pairs, members = met.filter(F.col("a").isNotNull()).select("a", F.col("rep").alias("b")), met.filter(F.col("a").isNull()).drop("a")

@@ -101,6 +101,25 @@ def test_links_connect_what_pairs_connect(spark, crowded):
         assert sorted(found) == sorted(true)
 
 
+def test_exploded_probes_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Spark takes the many probes of a class for one row, so by its own choice they would all pass through the driver."""
+    rng, plans, write = random.Random(9), {}, simhash.written
+    rows = [(i, rng.getrandbits(63), [rng.getrandbits(63) for _ in range(simhash.TABLES)], 1, bytes(512)) for i in range(1000)]
+    spark.createDataFrame(rows, "rep long, fp long, u array<long>, n long, sketch binary").write.parquet(f"{tmp_path}/classes")
+    classes = spark.read.parquet(f"{tmp_path}/classes")
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    linked = seen(simhash.links(classes.select("rep", "fp")), "links")
+    simhash.similar_links(classes.selectExpr("rep doc_id", "'' text"), classes, linked, 0.8)
+    for name in ("links", "simhash-met"):
+        joins = [x for x in plans[name].splitlines() if "Join" in x and "Inner" in x]
+        assert joins and all("SortMergeJoin" in x for x in joins), plans[name]
+
+
 def test_deduplicated_keeps_one_of_each_group(docs, odd):
     fps = {d: brute_fingerprint(t) for d, t in texts_of(docs)}
     want = sorted(d for d, c in brute_components(near(fps), list(fps)).items() if d == c)
